@@ -28,7 +28,7 @@ from .common import words
 
 WINDOW = 10
 MAX_CHARS = 8_000_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SPANS = "spans array<struct<first_word:bigint,end_word:bigint,start:bigint,end:bigint>>"
 
 
