@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing
+from . import decontamination, packing, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }
