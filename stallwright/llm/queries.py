@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, toxicity
+from . import decontamination, near_dedup, packing, pii, toxicity
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op7_pii": pii.op7_pii,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }
