@@ -190,8 +190,8 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
     out = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").cast("string").alias("_text"))
     schema = out.drop("_text").schema
     for k in KINDS:
-        schema = schema.add(f"n_{k}", "bigint")
-    schema = schema.add("base_spans", "string").add("spans", "string").add("n_added", "bigint").add("masked", "string")
+        schema = schema.add(f"n_{k}", "long")
+    schema = schema.add("base_spans", "string").add("spans", "string").add("n_added", "long").add("masked", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
