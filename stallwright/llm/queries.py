@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, packing, pii, toxicity
+from . import decontamination, near_dedup, packing, pii, quality_mil, toxicity, warc_merge
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_warc_merge": warc_merge.op2_warc_merge,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_pii": pii.op7_pii,
+    "op8_quality": quality_mil.op8_quality,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }
