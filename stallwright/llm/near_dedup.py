@@ -8,9 +8,10 @@ their probability Jaccard similarity. Registers form bands of `ROWS`; documents
 
 Texts that are equal become one node first. In each bucket every node is compared with the bucket's smallest one
 only; links that pass give components. Where a bucket still holds several components, nodes of different ones are
-joined under a condition on 1-bit sketches inside the join, so only pairs that are close already are emitted. Both
-kinds of candidates are verified exactly: a link has probability Jaccard or plain Jaccard of at least `THRESHOLD`.
-Classes are the connected components, by alternating large-star and small-star steps; nothing but counters reaches
+joined under a condition on 1-bit sketches inside the join, so only pairs that are close already are emitted; in
+buckets with more than `LARGE` open nodes the condition is the Jaccard similarity itself, on 32-bit shingle hashes,
+so that a large group of half-similar texts emits its links and nothing else. All candidates are verified exactly
+on the texts: a link has a Jaccard similarity of the shingle sets of at least `THRESHOLD`. Classes are the connected components, by alternating large-star and small-star steps; nothing but counters reaches
 the driver. A pair of similarity 0.8 shares no band with probability 2e-5.
 
 Cases: null is the empty text; texts of one to four words are one shingle; texts without words have equal texts as
@@ -40,7 +41,8 @@ REGISTERS = BANDS * ROWS
 MOST_BITS = 42
 #: Ids up to this many are broadcast (16 bytes each); above, Spark joins by shuffling.
 FEW = 500_000
-BATCH_WORDS, CACHE = 400_000, 400_000
+LARGE = 16
+BATCH_WORDS, CACHE = 200_000, 300_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _FULL = (1 << 64) - 1
 
@@ -130,10 +132,9 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of probability and plain Jaccard similarity of two sets of (hashes, counts)."""
+    """Jaccard similarity of two sets of (hashes, counts)."""
     common = len(np.intersect1d(a[0], b[0], assume_unique=True))
-    plain = common / max(1, len(a[0]) + len(b[0]) - common)
-    return max(plain, probability_jaccard((a[0], weights(a[1])), (b[0], weights(b[1]))) if common else 0.0)
+    return common / max(1, len(a[0]) + len(b[0]) - common)
 
 
 def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -172,7 +173,7 @@ def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
                     rows.append((d, digest, len(sets)))
                     sets.append(shingles(t))
                     n += len(sets[-1][0])
-                if n >= BATCH_WORDS or len(rows) >= 20_000 or len(sets) >= 2_000:
+                if n >= BATCH_WORDS or len(rows) >= 20_000 or len(sets) >= 500:
                     yield from flush(sets, rows)
                     sets, rows, n = [], [], 0
         if rows:
@@ -189,13 +190,28 @@ def _bits(a: str, b: str):
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, 4)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """digest and _text, once for each of the digests."""
+    few = ids.count() <= FEW
+    texts = docs.select(text_digest(text).alias("digest"), F.col(f"`{text}`").cast("string").alias("_text"))
+    return texts.join(F.broadcast(ids) if few else ids, "digest", "left_semi").dropDuplicates(["digest"])
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """digest and its distinct shingles as 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique((shingles(t.as_py())[0] >> np.uint64(32)).astype(np.uint32).astype(np.int32)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["digest", "hashes"])
+
+    return texts.select("digest", "_text").mapInArrow(run, "digest binary, hashes array<int>")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) of digests whose texts are similar enough, with the similarity."""
     pairs = cut(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    few = ids.count() <= FEW
-    texts = docs.select(text_digest(text).alias("digest"), F.col(f"`{text}`").cast("string").alias("_text"))
-    texts = texts.join(F.broadcast(ids) if few else ids, "digest", "left_semi").dropDuplicates(["digest"])
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), docs, text)
     both = pairs.join(texts.select(F.col("digest").alias("b"), F.col("_text").alias("_tb")), "b")
     both = both.join(texts.select(F.col("digest").alias("a"), F.col("_text").alias("_ta")), "a").select("a", "b", "_ta", "_tb")
 
@@ -243,11 +259,19 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold:
     links = verified(close.select("a", "b"), docs, text, threshold)
     roots = cut(components(links))
     label = met.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("bucket", "digest", F.coalesce("root", "digest").alias("root"))
-    mixed_buckets = label.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    open_rows = cut(label.join(mixed_buckets, "bucket", "left_semi").join(sketches, "digest"))
-    x = open_rows.select("bucket", F.col("digest").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
-    y = open_rows.select("bucket", F.col("digest").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & (_bits("sa", "sb") <= MOST_BITS))
+    open_buckets = label.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", (F.col("n") > LARGE).alias("large"))
+    open_rows = cut(label.join(open_buckets, "bucket").join(sketches, "digest"))
+    large = open_rows.where("large")
+    sets = shingle_sets(texts_of(large.select("digest").distinct(), docs, text))
+    large = large.join(cut(sets), "digest")
+    na, nb, common = F.size("ha"), F.size("hb"), F.size(F.array_intersect("ha", "hb"))
+    alike = (10 * F.least(na, nb) >= 10 * threshold * F.greatest(na, nb)) & ((1 + threshold) * common >= (threshold - 0.001) * (na + nb))
+
+    def met_again(rows: DataFrame, extra: dict[str, str], also) -> DataFrame:
+        x, y = (rows.select("bucket", *(F.col(c).alias(n + side) for c, n in ({"digest": "", "root": "r", "sketch": "s"} | extra).items())) for side in "ab")
+        return x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & (_bits("sa", "sb") <= MOST_BITS) & also).select("a", "b")
+
+    rest = met_again(open_rows.where("NOT large"), {}, F.lit(True)).union(met_again(large, {"hashes": "h"}, alike))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
     more = verified(rest, docs, text, threshold)
