@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, packing, pii, quality_mil, toxicity, warc_merge
+from . import audio, chat_format, decontamination, near_dedup, packing, pii, quality_mil, toxicity, warc_merge
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_warc_merge": warc_merge.op2_warc_merge,
+    "op3_audio": audio.op3_audio,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_chat_format": chat_format.op5_chat_format,
     "op7_pii": pii.op7_pii,
     "op8_quality": quality_mil.op8_quality,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }
-ORACLE_SQL = {"op9_decontamination": decontamination.ORACLE}
+ORACLE_SQL = {"op5_chat_format": chat_format.ORACLE, "op9_decontamination": decontamination.ORACLE}
