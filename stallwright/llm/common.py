@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,14 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 def narrow(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that no other column of the input can clash with one an operator adds."""
     return docs.select(*(F.col(f"`{n}`") for n in names))
+
+
+def kept_rows(docs: DataFrame, make: Callable[[], Callable[[str | None], bool]], text: str = "text") -> DataFrame:
+    """The rows whose text passes the test that `make` builds once for each task; all columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for b in batches:
+            yield b.filter(pa.array([test(t.as_py()) for t in b.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import words
+from .common import kept_rows, words
 
 WINDOW = 10
 MAX_CHARS = 8_000_000
@@ -87,6 +87,32 @@ def located(text: str, ranges: list[tuple[int, int]]) -> list[dict]:
     return [{"first_word": a, "end_word": b, "start": places[a][0], "end": places[b - 1][1]} for a, b in ranges]
 
 
+def item_chunks(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS) -> Iterator[list[tuple[str, str | None]]]:
+    """The benchmark's (id, text) rows, in one list if they have at most half of `max_chars` characters."""
+    items = benchmark.select(
+        F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")).alias("item"),
+        F.col(f"`{item_text}`").cast("string").alias("item_text"),
+    )
+    size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
+    chunks = max(1, math.ceil(2 * size / max_chars))
+    for chunk in range(chunks):
+        part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(chunks)) == chunk)
+        yield [(r.item, r.item_text) for r in part.toLocalIterator()]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS) -> DataFrame:
+    """The documents without any benchmark passage, with all their columns."""
+    for rows in item_chunks(benchmark, max_chars=max_chars):
+        shipped = docs.sparkSession.sparkContext.broadcast(rows)
+
+        def make(shipped=shipped):
+            found = automaton(shipped.value, window)
+            return lambda text: not scan(text, found)[1]
+
+        docs = kept_rows(docs, make)
+    return docs
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -99,18 +125,10 @@ def contamination(
     max_chars: int = MAX_CHARS,
 ) -> DataFrame:
     """Columns `keep` of every document plus n_words, n_hit, items (sorted ids) and spans of the hit passages."""
-    items = benchmark.select(
-        F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("null")).alias("item"),
-        F.col(f"`{item_text}`").alias("item_text"),
-    )
-    size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    chunks = max(1, math.ceil(2 * size / max_chars))
     kept = [f"`{k}`" for k in keep]
     out = docs.select(*kept, F.col(f"`{text}`").cast("string").alias("_text"))
     fields = T._parse_datatype_string(f"_text string, _n bigint, _r array<struct<a:bigint,b:bigint>>, _i array<string>")
-    for chunk in range(chunks):
-        part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(chunks)) == chunk)
-        rows = [(r.item, r.item_text) for r in part.toLocalIterator()]
+    for rows in item_chunks(benchmark, item_id, item_text, max_chars):
         shipped = docs.sparkSession.sparkContext.broadcast(rows)
         schema = T.StructType([f for f in out.schema.fields if f.name not in ("_text", "_n", "_r", "_i")] + fields.fields)
 

@@ -208,6 +208,22 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
     return out.mapInArrow(run, schema)
 
 
+def without_personal_data(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """All documents and columns, the text masked and n_chars, if there is one, its new length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [masked(t.as_py()) for t in b.column(text)]
+            cols = dict(zip(b.schema.names, b.columns))
+            cols[text] = pa.array(new, pa.string())
+            if n_chars in cols:
+                changed = [len(x) if x is not None and x != t.as_py() else n.as_py() for x, t, n in zip(new, b.column(text), b.column(n_chars))]
+                cols[n_chars] = pa.array(changed, b.schema.field(n_chars).type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_pii(spark, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, chat_format, decontamination, near_dedup, packing, pii, quality_mil, toxicity, warc_merge
+from . import audio, chat_format, decontamination, near_dedup, packing, pii, quality_mil, toxicity, training_order, warc_merge
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_audio": audio.op3_audio,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat_format": chat_format.op5_chat_format,
+    "op6_training_order": training_order.op6_training_order,
     "op7_pii": pii.op7_pii,
     "op8_quality": quality_mil.op8_quality,
     "op9_decontamination": decontamination.op9_decontamination,

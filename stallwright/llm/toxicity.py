@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words
+from .common import kept_rows, table, words
 from .learning import fold, training_sample
 
 BITS, PREFIXES = 20, (4, 5, 6)
@@ -148,6 +148,17 @@ def scored(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",
     return out.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, machine: Machine, limit: float = CUT) -> DataFrame:
+    """The documents that score below the limit, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def make():
+        m = shipped.value
+        return lambda text: m.score(terms(text)) < limit
+
+    return kept_rows(docs, make)
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, train(docs, table(spark, sf_dir, "labels")))
