@@ -10,7 +10,8 @@ Texts that are equal become one node first. In each bucket every node is compare
 only; links that pass give components. Where a bucket still holds several components, nodes of different ones are
 joined under a condition on 1-bit sketches inside the join, so only pairs that are close already are emitted; in
 buckets with more than `LARGE` open nodes the condition is the Jaccard similarity itself, on 32-bit shingle hashes,
-so that a large group of half-similar texts emits its links and nothing else. All candidates are verified exactly
+after `ROUNDS` more rounds against one leader each, so that a large group of half-similar texts emits little but
+the links that join its components. All candidates are verified exactly
 on the texts: a link has a Jaccard similarity of the shingle sets of at least `THRESHOLD`. Classes are the connected components, by alternating large-star and small-star steps; nothing but counters reaches
 the driver. A pair of similarity 0.8 shares no band with probability 2e-5.
 
@@ -41,7 +42,7 @@ REGISTERS = BANDS * ROWS
 MOST_BITS = 42
 #: Ids up to this many are broadcast (16 bytes each); above, Spark joins by shuffling.
 FEW = 500_000
-LARGE = 16
+LARGE, ROUNDS = 16, 2
 BATCH_WORDS, CACHE = 200_000, 300_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _FULL = (1 << 64) - 1
@@ -243,6 +244,45 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _pairs(links: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, (x.select("a", "b") for x in links))
+
+
+def _alike(threshold: float):
+    """Whether the shingle hashes ha and hb have the similarity; sketches are compared first."""
+    na, nb, common = F.size("ha"), F.size("hb"), F.size(F.array_intersect("ha", "hb"))
+    return (_bits("sa", "sb") <= MOST_BITS) & (10 * F.least(na, nb) >= 10 * threshold * F.greatest(na, nb)) & ((1 + threshold) * common >= threshold * (na + nb) - 1e-6)
+
+
+def _met_again(rows: DataFrame, more: list[str], also) -> DataFrame:
+    """Pairs (a, b) of nodes with different roots in a bucket, close in their sketches, that meet `also`."""
+    names = {"digest": "", "root": "r", "sketch": "s"} | {c: c[0] for c in more}
+    x, y = (rows.select("bucket", *(F.col(c).alias(n + side) for c, n in names.items())) for side in "ab")
+    return x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & (_bits("sa", "sb") <= MOST_BITS) & also).select("a", "b", "rb")
+
+
+def _large_links(rows: DataFrame, links: list[DataFrame], docs: DataFrame, text: str, threshold: float) -> list[DataFrame]:
+    """Links of the large buckets: a few rounds against a leader that a hash picks, then all that are still apart.
+
+    The rounds join the many members of a large class with work in proportion to the bucket; what is left for the
+    last join are nodes without a link to any leader.
+    """
+    found: list[DataFrame] = []
+    for k in range(ROUNDS + 1):
+        roots = cut(components(_pairs(links + found)))
+        now = rows.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+        leader = F.min_by(F.struct(F.col("digest").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("hashes").alias("ha")), F.xxhash64("digest", F.lit(k)))
+        still = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), leader.alias("l")).where("lo <> hi")
+        if k < ROUNDS:
+            members = now.select("bucket", F.col("digest").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("hashes").alias("hb"))
+            met = members.join(still.select(F.col("bucket").alias("_bucket"), "l.*"), (F.col("bucket") == F.col("_bucket")) & (F.col("ra") != F.col("rb")) & _alike(threshold))
+            pairs = met.select("b", F.col("a").alias("_a"), "ra").groupBy("b", "ra").agg(F.min("_a").alias("a"))
+        else:
+            pairs = _met_again(now.join(still.select("bucket"), "bucket", "left_semi"), ["hashes"], _alike(threshold)).groupBy("a", "rb").agg(F.min("b").alias("b"))
+        found.append(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, text, threshold))
+    return found
+
+
 def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, digest, class_id (smallest doc_id of the class), class_size and kept (the one row that stays)."""
     sigs = cut(signatures(docs, text, id))
@@ -261,21 +301,14 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold:
     label = met.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("bucket", "digest", F.coalesce("root", "digest").alias("root"))
     open_buckets = label.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", (F.col("n") > LARGE).alias("large"))
     open_rows = cut(label.join(open_buckets, "bucket").join(sketches, "digest"))
-    large = open_rows.where("large")
-    sets = shingle_sets(texts_of(large.select("digest").distinct(), docs, text))
-    large = large.join(cut(sets), "digest")
-    na, nb, common = F.size("ha"), F.size("hb"), F.size(F.array_intersect("ha", "hb"))
-    alike = (10 * F.least(na, nb) >= 10 * threshold * F.greatest(na, nb)) & ((1 + threshold) * common >= (threshold - 0.001) * (na + nb))
-
-    def met_again(rows: DataFrame, extra: dict[str, str], also) -> DataFrame:
-        x, y = (rows.select("bucket", *(F.col(c).alias(n + side) for c, n in ({"digest": "", "root": "r", "sketch": "s"} | extra).items())) for side in "ab")
-        return x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & (_bits("sa", "sb") <= MOST_BITS) & also).select("a", "b")
-
-    rest = met_again(open_rows.where("NOT large"), {}, F.lit(True)).union(met_again(large, {"hashes": "h"}, alike))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = verified(rest, docs, text, threshold)
-    roots = components(links.select("a", "b").union(more.select("a", "b")))
+    small = open_rows.where("NOT large")
+    rest = _met_again(small, [], F.lit(True)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = [links, verified(rest.join(star, ["a", "b"], "left_anti"), docs, text, threshold)]
+    large = open_rows.where("large").drop("large", "root")
+    if large.limit(1).count():
+        sets = shingle_sets(texts_of(large.select("digest").distinct(), docs, text))
+        links += _large_links(cut(large.join(cut(sets), "digest")), links, docs, text, threshold)
+    roots = components(_pairs(links))
     grouped = members.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     grouped = cut(grouped)
     best = grouped.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.min_by("digest", F.struct(F.col("first").isNull(), "first", "digest")).alias("best"))
