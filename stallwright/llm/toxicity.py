@@ -30,7 +30,7 @@ from .learning import fold, training_sample
 BITS, PREFIXES = 20, (4, 5, 6)
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 MAX_ROWS, TERMS, FACTORS, EPOCHS, SEED = 12_000, 4096, 4, 20, 7
-CACHE = 400_000
+CACHE = 80_000
 
 
 class TermIds(dict):
