@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 #: "Now" for every formula that needs it.
 AS_OF = "2002-01-01"
 
+#: Titles that exercise the rules on labelled pairs; a pair takes two of them by its key.
+PHRASES = (
+    "PS5 Slim digital edition sealed 1TB", "PS5 disc edition 825GB for parts", "PlayStation 5 disc version boxed", "MacBook Pro M3 Max 512GB grade A", "MacBook Air M2 256GB scratches",
+    "ThinkPad i7 16GB RAM 512GB SSD black", "ThinkPad i5 8GB RAM 256GB SSD", "Lot of 5 game pads", "game pad like new", "Premium Collection box sealed", "Ultra-Premium Collection box sealed",
+    "DeWalt 18V drill replacement battery", "DeWalt 20V drill good condition", "Watch 45mm silver pre-owned", "Watch 41mm gold worn", "10 pack filters brand new",
+)
+
 SQL_VIEWS: dict[str, str] = {
+    "pairs": f"""SELECT p_partkey AS pair_id, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS job_id, p_partkey % 3 <> 0 AS comparable, ({list(PHRASES)!r})[p_partkey % {len(PHRASES)} + 1] AS a, ({list(PHRASES)!r})[(p_partkey * 5 + 3) % {len(PHRASES)} + 1] AS b,
+        p_size / 50.0::DOUBLE AS similarity, (p_partkey * 7 % 41 - 20) / 5.0::DOUBLE AS logit, p_name AS description FROM part""",
     "jobs": """SELECT DISTINCT CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS job_id, p_brand AS search_term,
         CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) % 5 <> 0 AS is_enabled FROM part""",
     "categories": """SELECT p_type AS category, p_type <> 'PROMO' AS is_enabled FROM part GROUP BY p_type""",
@@ -179,3 +188,18 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).where("title IS NOT NULL").select("listing_id", "job_id", "status", "price", "condition", "created", "ended", "title")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled pairs of titles, one for each part."""
+    phrases, n, key = F.array(*(F.lit(p) for p in PHRASES)), len(PHRASES), F.col("p_partkey")
+    return read(spark, sf_dir, "part").select(
+        key.alias("pair_id"),
+        _job("p_brand").alias("job_id"),
+        (key % 3 != 0).alias("comparable"),
+        F.element_at(phrases, (key % n + 1).cast("int")).alias("a"),
+        F.element_at(phrases, ((key * 5 + 3) % n + 1).cast("int")).alias("b"),
+        (F.col("p_size") / F.lit(50.0)).alias("similarity"),
+        ((key * 7 % 41 - 20) / F.lit(5.0)).alias("logit"),
+        F.col("p_name").alias("description"),
+    )
