@@ -64,6 +64,8 @@ SQL_VIEWS: dict[str, str] = {
         first(n) - count(*) AS outliers_removed, quantile_cont(sold_price, 0.5) AS median_price
         FROM (SELECT *, pow(coalesce(confidence, similarity), 2) * CASE WHEN ended IS NULL THEN 1 ELSE exp(-date_diff('day', ended, TIMESTAMP '{AS_OF}') / 30.0::DOUBLE) END AS w FROM cleaned)
         GROUP BY active_id) g) WHERE n >= 3 AND profit > 0""",
+    "cells": """SELECT listing_id, job_id, title, category, split_part(title, ' ', 2) AS colour, coalesce(price, 0) AS price, status = 'Sold' AS is_sold, status = 'Active' AS is_active, condition, created, ended,
+        'category=' || category || ' | colour=' || split_part(title, ' ', 2) || coalesce(' | condition=' || condition, '') AS cell_key FROM listings WHERE title IS NOT NULL AND status IN ('Active', 'Sold')""",
     "titles": """SELECT listing_id, job_id, status, price, condition, created, ended, title FROM listings WHERE title IS NOT NULL""",
 }
 
@@ -203,3 +205,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((key * 7 % 41 - 20) / F.lit(5.0)).alias("logit"),
         F.col("p_name").alias("description"),
     )
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active and sold listings with a title, assigned to a cell of category, colour and condition; a null price is 0."""
+    from ..operators.cells import cell_key
+
+    rows = listings(spark, sf_dir).where("title IS NOT NULL AND status IN ('Active', 'Sold')")
+    colour = F.split_part("title", F.lit(" "), F.lit(2))
+    rows = rows.select("listing_id", "job_id", "title", "category", colour.alias("colour"), F.coalesce("price", F.lit(0.0)).alias("price"), (F.col("status") == "Sold").alias("is_sold"), (F.col("status") == "Active").alias("is_active"), "condition", "created", "ended")
+    return rows.withColumn("cell_key", cell_key(F.create_map(F.lit("category"), F.col("category"), F.lit("colour"), F.col("colour")), F.col("condition")))
