@@ -10,7 +10,7 @@ Texts that are equal become one node first. In each bucket every node is compare
 only; links that pass give components. Where a bucket still holds several components, nodes of different ones are
 joined under a condition on 1-bit sketches inside the join, so only pairs that are close already are emitted; in
 buckets with more than `LARGE` open nodes the condition is the Jaccard similarity itself, on 32-bit shingle hashes,
-after `ROUNDS` more rounds against one leader each, so that a large group of half-similar texts emits little but
+after `ROUNDS` more round against one leader each, so that a large group of half-similar texts emits little but
 the links that join its components. All candidates are verified exactly
 on the texts: a link has a Jaccard similarity of the shingle sets of at least `THRESHOLD`. Classes are the connected components, by alternating large-star and small-star steps; nothing but counters reaches
 the driver. A pair of similarity 0.8 shares no band with probability 2e-5.
@@ -42,7 +42,7 @@ REGISTERS = BANDS * ROWS
 MOST_BITS = 42
 #: Ids up to this many are broadcast (16 bytes each); above, Spark joins by shuffling.
 FEW = 500_000
-LARGE, ROUNDS = 16, 2
+LARGE, ROUNDS = 16, 1
 BATCH_WORDS, CACHE = 150_000, 80_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _FULL = (1 << 64) - 1
@@ -261,25 +261,27 @@ def _met_again(rows: DataFrame, more: list[str], also) -> DataFrame:
     return x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & (_bits("sa", "sb") <= MOST_BITS) & also).select("a", "b", "rb")
 
 
-def _large_links(rows: DataFrame, links: list[DataFrame], docs: DataFrame, text: str, threshold: float) -> list[DataFrame]:
-    """Links of the large buckets: a few rounds against a leader that a hash picks, then all that are still apart.
+def _large_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, links: list[DataFrame], docs: DataFrame, text: str, threshold: float) -> list[DataFrame]:
+    """Links of the large buckets (bucket, digest); `sets` has the sketch and the shingle hashes of their nodes.
 
-    The rounds join the many members of a large class with work in proportion to the bucket; what is left for the
-    last join are nodes without a link to any leader.
+    First against a leader that a hash picks, with work in proportion to the bucket; this joins the many members of
+    a large class. What is left for the join of all that are still apart are nodes without a link to any leader.
     """
+    a, b = ({c: f"{n}{side}" for c, n in (("digest", ""), ("sketch", "s"), ("hashes", "h"))} for side in "ab")
     found: list[DataFrame] = []
     for k in range(ROUNDS + 1):
-        roots = cut(components(_pairs(links + found)))
         now = rows.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        leader = F.min_by(F.struct(F.col("digest").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("hashes").alias("ha")), F.xxhash64("digest", F.lit(k)))
+        leader = F.min_by(F.struct(F.col("digest").alias("a"), F.col("root").alias("ra")), F.xxhash64("digest", F.lit(k)))
         still = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), leader.alias("l")).where("lo <> hi")
         if k < ROUNDS:
-            members = now.select("bucket", F.col("digest").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("hashes").alias("hb"))
-            met = members.join(still.select(F.col("bucket").alias("_bucket"), "l.*"), (F.col("bucket") == F.col("_bucket")) & (F.col("ra") != F.col("rb")) & _alike(threshold))
-            pairs = met.select("b", F.col("a").alias("_a"), "ra").groupBy("b", "ra").agg(F.min("_a").alias("a"))
+            met = now.select("bucket", F.col("digest").alias("b"), F.col("root").alias("rb")).join(still.select("bucket", "l.*"), "bucket").where("ra <> rb").select("a", "b", "ra").distinct()
+            met = met.join(sets.withColumnsRenamed(b), "b").withColumnRenamed("a", "_a").join(sets.withColumnsRenamed(a), (F.col("_a") == F.col("a")) & _alike(threshold))
+            pairs = met.groupBy("b", "ra").agg(F.min("a").alias("a"))
         else:
-            pairs = _met_again(now.join(still.select("bucket"), "bucket", "left_semi"), ["hashes"], _alike(threshold)).groupBy("a", "rb").agg(F.min("b").alias("b"))
+            pairs = _met_again(now.join(still.select("bucket"), "bucket", "left_semi").join(sets, "digest"), ["hashes"], _alike(threshold)).groupBy("a", "rb").agg(F.min("b").alias("b"))
         found.append(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, text, threshold))
+        if k < ROUNDS:
+            roots = cut(components(_pairs(links + found)))
     return found
 
 
@@ -300,14 +302,15 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold:
     roots = cut(components(links))
     label = met.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("bucket", "digest", F.coalesce("root", "digest").alias("root"))
     open_buckets = label.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", (F.col("n") > LARGE).alias("large"))
-    open_rows = cut(label.join(open_buckets, "bucket").join(sketches, "digest"))
-    small = open_rows.where("NOT large")
+    open_rows = cut(label.join(open_buckets, "bucket"))
+    small = open_rows.where("NOT large").join(sketches, "digest")
     rest = _met_again(small, [], F.lit(True)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = [links, verified(rest.join(star, ["a", "b"], "left_anti"), docs, text, threshold)]
-    large = open_rows.where("large").drop("large", "root")
+    large = open_rows.where("large").select("bucket", "digest")
     if large.limit(1).count():
-        sets = shingle_sets(texts_of(large.select("digest").distinct(), docs, text))
-        links += _large_links(cut(large.join(cut(sets), "digest")), links, docs, text, threshold)
+        nodes_in = large.select("digest").distinct()
+        sets = cut(shingle_sets(texts_of(nodes_in, docs, text)).join(sketches, "digest"))
+        links += _large_links(large, sets, roots, links, docs, text, threshold)
     roots = components(_pairs(links))
     grouped = members.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     grouped = cut(grouped)
