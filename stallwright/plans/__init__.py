@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pricing_queries", "market_queries", "text_queries", "cell_queries", "vector_queries", "taxonomy_queries")
+MODULES = ("pricing_queries", "market_queries", "text_queries", "cell_queries", "vector_queries", "taxonomy_queries", "ingest_queries")
 
 
 def all_queries():
