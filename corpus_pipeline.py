@@ -10,29 +10,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stallwright.llm import decontamination, near_dedup, packing, pii, toxicity
-from stallwright.llm.common import fresh_dir, table
+from stallwright.llm.common import bounded, fresh_dir, table
 
 
+@bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine rejects go."""
     return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@bounded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, the one with the smallest doc_id."""
     return near_dedup.deduplicated(docs)
 
 
+@bounded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@bounded
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind."""
     return pii.without_personal_data(docs)
 
 
+@bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences."""
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))

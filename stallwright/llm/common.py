@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes that an Arrow batch between the JVM and Python may have; texts can be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def bounded(f: Callable) -> Callable:
+    """The query or stage, with the session's Arrow batches bounded by `BATCH`."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args):
+        for key, most in BATCH.items():
+            if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+                spark.conf.set(key, most)
+        return f(spark, *args)
+
+    return run
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

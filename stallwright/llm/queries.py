@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import audio, chat_format, decontamination, near_dedup, packing, pii, quality_mil, toxicity, training_order, warc_merge
+from .common import bounded
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -16,4 +17,5 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_packing": packing.op10_packing,
 }
+QUERIES = {name: bounded(f) for name, f in QUERIES.items()}
 ORACLE_SQL = {"op5_chat_format": chat_format.ORACLE, "op9_decontamination": decontamination.ORACLE}
