@@ -72,7 +72,7 @@ def test_axis_steps():
 
 def test_taxonomy_finds_an_axis(spark):
     r = random.Random(1)
-    colours, sizes = ["crimsonish", "crimsonite", "crimsonoid", "crimsonate"], ["bigsize one", "bigsize two", "bigsize six", "bigsize ten"]
+    colours, sizes = ["crimsonish", "crimsonite", "crimsonoid", "crimsonfold"], ["bigsize one", "bigsize two", "bigsize six", "bigsize ten"]
     rows = [(1, f"l{k}", f"{r.choice(colours)} q{k}q {r.choice(sizes)}") for k in range(400)]
     t = spark.createDataFrame(rows, "job_id bigint, listing_id string, title string")
     axes, assigned = taxonomy.run(t)
