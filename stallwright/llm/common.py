@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,6 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that a checkpoint has replaced.
+
+    They go when the driver's JVM collects their plans, which on a large heap can be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows and bytes that an Arrow batch between the JVM and Python may have; texts can be long.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, utf8, words
+from .common import cut, release, table, utf8, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 6
@@ -223,7 +223,9 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", threshold: f
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
             yield out.filter(pa.array([x >= threshold for x in s], pa.bool_()))
 
-    return cut(both.mapInArrow(run, "a binary, b binary, similarity double"))
+    out = cut(both.mapInArrow(run, "a binary, b binary, similarity double"))
+    release(docs.sparkSession)
+    return out
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -282,6 +284,7 @@ def _large_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, links: list
         found.append(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, text, threshold))
         if k < ROUNDS:
             roots = cut(components(_pairs(links + found)))
+            release(docs.sparkSession)
     return found
 
 
@@ -293,6 +296,7 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold:
     rows = nodes.select("digest", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = cut(rows.join(shared, "bucket"))
+    release(docs.sparkSession)
     sketches = nodes.select("digest", "sketch").join(met.select("digest").distinct(), "digest", "left_semi")
     sketches = cut(sketches)
     star = met.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
@@ -300,6 +304,7 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold:
     close = close.join(sketches.select(F.col("digest").alias("a"), F.col("sketch").alias("sa")), "a").where(_bits("sa", "sb") <= MOST_BITS)
     links = verified(close.select("a", "b"), docs, text, threshold)
     roots = cut(components(links))
+    release(docs.sparkSession)
     label = met.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("bucket", "digest", F.coalesce("root", "digest").alias("root"))
     open_buckets = label.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", (F.col("n") > LARGE).alias("large"))
     open_rows = cut(label.join(open_buckets, "bucket"))
@@ -314,6 +319,7 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold:
     roots = components(_pairs(links))
     grouped = members.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     grouped = cut(grouped)
+    release(docs.sparkSession)
     best = grouped.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"), F.min_by("digest", F.struct(F.col("first").isNull(), "first", "digest")).alias("best"))
     found = grouped.join(best, "root").select("digest", "class_id", "class_size", "first", (F.col("digest") == F.col("best")).alias("_best"))
     out = sigs.select("doc_id", "digest").join(found, "digest")
@@ -323,6 +329,7 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold:
 def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one row of every class left: the one with the smallest doc_id."""
     found = cut(classes(docs, text, id, threshold))
+    release(docs.sparkSession)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")).distinct()
     again = found.where("kept").groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
     rows = docs.withColumn("_digest", text_digest(text))
