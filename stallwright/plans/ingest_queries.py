@@ -30,10 +30,10 @@ def _folder(spark, name: str) -> str:
 @query("src_html_search")
 def src_html_search(spark, sf_dir):
     """Search pages made from the listings, read back by the parser."""
-    rows = M.titles(spark, sf_dir).where("price IS NOT NULL AND job_id < 4")
+    rows = M.titles(spark, sf_dir).where("price IS NOT NULL")
     n = F.pmod(F.xxhash64("listing_id"), F.lit(89_999_999_999)) + 10_000_000_000
     card = F.concat(F.lit('<li class="s-card" data-viewport="1"><a class="s-card__link" href="https://x.example/itm/'), n, F.lit('?x=1"><div class="s-card__title">New listing'), F.col("title"), F.lit('</div></a><span class="s-card__price">£'), F.format_string("%.2f", "price"), F.lit('</span><div class="s-card__subtitle-row">Pre-owned</div><span>+ £3.50 delivery</span></li>'))
-    pages = rows.groupBy(F.col("job_id").alias("page_id")).agg(F.concat(F.lit("<html><ul>"), F.array_join(F.collect_list(card), ""), F.lit("</ul></html>")).alias("html"))
+    pages = rows.groupBy(F.pmod(F.xxhash64("listing_id"), F.lit(997)).alias("page_id")).agg(F.concat(F.lit("<html><ul>"), F.array_join(F.collect_list(card), ""), F.lit("</ul></html>")).alias("html"))
     return H.search_listings(pages)
 
 

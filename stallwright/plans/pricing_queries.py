@@ -216,10 +216,10 @@ def prj_profit_override(spark, sf_dir):
 @query(
     "prj_detail",
     """SELECT l.listing_id, CASE WHEN c.n IS NOT NULL THEN 'classifier' ELSE 'none' END AS source, coalesce(c.n, 0) AS n_comps, round(p.profit, 4) AS profit FROM listings l
-    LEFT JOIN (SELECT active_id, count(*) AS n FROM comps GROUP BY 1) c ON c.active_id = l.listing_id LEFT JOIN preds p ON p.active_id = l.listing_id WHERE l.status = 'Active' AND l.part_id < 50""",
+    LEFT JOIN (SELECT active_id, count(*) AS n FROM comps GROUP BY 1) c ON c.active_id = l.listing_id LEFT JOIN preds p ON p.active_id = l.listing_id WHERE l.status = 'Active'""",
 )
 def prj_detail(spark, sf_dir):
-    rows = M.listings(spark, sf_dir).where("status = 'Active' AND part_id < 50").select(F.col("listing_id").alias("active_id"))
+    rows = M.listings(spark, sf_dir).where("status = 'Active'").select(F.col("listing_id").alias("active_id"))
     c = comps(spark, sf_dir).groupBy("active_id").agg(F.count("*").alias("n_comps"))
     out = rows.join(c, "active_id", "left").join(preds(spark, sf_dir).select("active_id", "profit"), "active_id", "left")
     return rounded(out.select(F.col("active_id").alias("listing_id"), F.when(F.col("n_comps").isNotNull(), "classifier").otherwise("none").alias("source"), F.coalesce("n_comps", F.lit(0)).alias("n_comps"), "profit"))

@@ -110,7 +110,7 @@ def _stage(name, step):
 
         def one(key, values, common):
             s = T.Overlaps(dict(zip(values.g, values["size"].astype(int))), {(a, b): int(c) for a, b, c in zip(common.a, common.b, common.common)})
-            start = [values.sort_values(["size", "g"], ascending=[False, True]).g.tolist()[:40]]
+            start = [values.sort_values(["size", "g"], ascending=[False, True]).g.tolist()]
             return pd.DataFrame([(key[0], k, v) for k, axis in enumerate(step(start, s)) for v in axis], columns=["job_id", "axis", "label"])
 
         return T.by_job(sets, pairs).applyInPandas(one, "job_id bigint, axis bigint, label string")
@@ -188,28 +188,30 @@ def decontaminate_similar(spark, sf_dir):
     return decontaminate(spark, sf_dir).where(similarity("title") >= 0.3)
 
 
-_SLOTS = "w AS (SELECT listing_id, ['__START__'] || regexp_extract_all(lower(title), '[a-z0-9]+') || ['__END__'] AS w FROM titles WHERE job_id < 5)"
+_SLOTS = "w AS (SELECT listing_id, ['__START__'] || regexp_extract_all(lower(title), '[a-z0-9]+') || ['__END__'] AS w FROM titles)"
 
 
 @query("slot_context", f"WITH {_SLOTS} SELECT t, side, c, count(*) AS n FROM (SELECT w[i] AS t, 'left' AS side, w[i - 1] AS c FROM (SELECT w, unnest(range(2, len(w))) AS i FROM w) UNION ALL SELECT w[i], 'right', w[i + 1] FROM (SELECT w, unnest(range(2, len(w))) AS i FROM w)) GROUP BY 1, 2, 3")
 def slot_context(spark, sf_dir):
     w = F.concat(F.array(F.lit("__START__")), F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0)), F.array(F.lit("__END__")))
-    rows = titles(spark, sf_dir).where("job_id < 5").select(w.alias("w")).select("w", F.explode(F.sequence(F.lit(2), F.size("w") - 1)).alias("i"))
+    rows = titles(spark, sf_dir).select(w.alias("w")).select("w", F.explode(F.sequence(F.lit(2), F.size("w") - 1)).alias("i"))
     both = F.array(F.struct(F.lit("left").alias("side"), F.element_at("w", F.col("i") - 1).alias("c")), F.struct(F.lit("right").alias("side"), F.element_at("w", F.col("i") + 1).alias("c")))
     return rows.select(F.element_at("w", F.col("i")).alias("t"), F.explode(both).alias("x")).groupBy("t", "x.side", "x.c").agg(F.count("*").alias("n"))
 
 
 @query("slot_recover")
 def slot_recover(spark, sf_dir):
-    """Rare words whose neighbours resemble those of a frequent word."""
+    """Words of 1 to 3 % of the titles whose neighbours resemble those of a more frequent word."""
     ctx = slot_context(spark, sf_dir).withColumn("k", F.concat("side", F.lit(":"), "c")).select("t", "k", "n")
     total = ctx.groupBy("t").agg(F.sum("n").alias("total"))
-    rare, common = total.where("total BETWEEN 4 AND 60").select("t"), total.where("total > 60").select("t")
+    n = F.broadcast(titles(spark, sf_dir).agg(F.count("*").alias("titles")))
+    share = total.crossJoin(n).withColumn("share", F.col("total") / (2 * F.col("titles")))
+    rare, common = share.where("share BETWEEN 0.01 AND 0.03").select("t"), share.where("share > 0.03").select("t")
     a = ctx.join(rare, "t", "left_semi").withColumnsRenamed({"t": "a", "n": "x"})
     b = ctx.join(common, "t", "left_semi").withColumnsRenamed({"t": "b", "n": "y"})
     both = a.join(b, "k").groupBy("a", "b").agg(F.sum(F.least("x", "y")).alias("m"))
     both = both.join(total.select(F.col("t").alias("a"), F.col("total").alias("ta")), "a").join(total.select(F.col("t").alias("b"), F.col("total").alias("tb")), "b")
-    s = both.withColumn("s", rnd(F.col("m") / (F.col("ta") + F.col("tb") - F.col("m")), 5)).where("s >= 0.02")
+    s = both.withColumn("s", rnd(F.col("m") / (F.col("ta") + F.col("tb") - F.col("m")), 5)).where("s >= 0.2")
     return s.groupBy("a").agg(F.max_by("b", F.struct("s", "b")).alias("slot"), F.max("s").alias("s"))
 
 
@@ -228,9 +230,10 @@ def community_score(spark, sf_dir):
     return m.join(e, "job_id", "left").select("job_id", "members", rnd(F.coalesce("n", F.lit(0)) / F.nullif(F.col("members") * (F.col("members") - 1) / 2, F.lit(0.0)), 5).alias("density"))
 
 
-@query("union_find", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey * 3 % 50 AS b FROM part WHERE p_partkey < 50), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e), r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, min(b) AS root FROM r GROUP BY 1")
+@query("union_find", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 50 * 50 + p_partkey * 3 % 50 AS b FROM part), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e), r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, min(b) AS root FROM r GROUP BY 1")
 def union_find(spark, sf_dir):
-    e = M.read(spark, sf_dir, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 3 % 50).alias("b"))
+    block = F.expr("p_partkey div 50")
+    e = M.read(spark, sf_dir, "part").select(block.alias("block"), F.col("p_partkey").alias("a"), (block * 50 + F.col("p_partkey") * 3 % 50).alias("b"))
 
     def one(key, pdf):
         nodes = sorted({*pdf.a, *pdf.b})
@@ -241,7 +244,7 @@ def union_find(spark, sf_dir):
             root.setdefault(c, v)
         return pd.DataFrame({"node": nodes, "root": [root[c] for c in comp]})
 
-    return e.groupBy(F.lit(0).alias("g")).applyInPandas(one, "node bigint, root bigint")
+    return e.groupBy("block").applyInPandas(one, "node bigint, root bigint")
 
 
 @query("cc_bfs")
@@ -261,8 +264,9 @@ def cc_bfs(spark, sf_dir):
 
 
 def _by_label(spark, sf_dir):
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    return M.read(spark, sf_dir, "embeddings").withColumn("k", k).where("k <= 60").select("vec_id", "label", "embedding")
+    """The vectors of each label, at most as many as the clustering takes."""
+    k = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(42)), "vec_id"))
+    return M.read(spark, sf_dir, "embeddings").withColumn("k", k).where(F.col("k") <= G.MOST).select("vec_id", "label", "embedding")
 
 
 @query("ward_linkage")
@@ -286,10 +290,10 @@ def ward_cut(spark, sf_dir):
 
 @query("cluster_text")
 def cluster_text(spark, sf_dir):
-    """Titles of a job, with their condition, clustered by TF-IDF and Ward, 150 of each job by a hash."""
+    """Titles of a job, with their condition, clustered by TF-IDF and Ward; a hash picks the sample of a job that the clustering takes."""
     text = F.concat("title", F.lit(" ["), F.replace(F.coalesce("condition", F.lit("")), F.lit("_"), F.lit(" ")), F.lit("]"))
     k = F.row_number().over(Window.partitionBy("job_id").orderBy(F.xxhash64("listing_id", F.lit(42)), "listing_id"))
-    rows = M.titles(spark, sf_dir).withColumn("k", k).where("k <= 150").select("job_id", "listing_id", text.alias("text"))
+    rows = M.titles(spark, sf_dir).withColumn("k", k).where(F.col("k") <= G.MOST).select("job_id", "listing_id", text.alias("text"))
     terms = rows.select(F.concat_ws("|", "job_id", "listing_id").alias("doc"), "job_id", F.explode(X.ngrams(X.tfidf_tokens(F.col("text")))).alias("term"))
     w = V.tfidf(terms.select("doc", "term"))
     docs = w.join(terms.select("doc", "job_id").distinct(), "doc")
@@ -372,10 +376,10 @@ def scr_flip_labels(spark, sf_dir):
     return rows.join(fixes, "pair_id", "left").select("pair_id", F.coalesce("fixed", "comparable").alias("label"))
 
 
-@query("scr_price_regex_assign", "SELECT listing_id, CASE WHEN regexp_matches(title, '(?i)red') AND NOT regexp_matches(title, '(?i)large') THEN 'r' WHEN regexp_matches(title, '(?i)r') THEN 'any' END AS value FROM titles WHERE job_id = 9")
+@query("scr_price_regex_assign", "SELECT listing_id, CASE WHEN regexp_matches(title, '(?i)red') AND NOT regexp_matches(title, '(?i)large') THEN 'r' WHEN regexp_matches(title, '(?i)r') THEN 'any' END AS value FROM titles")
 def scr_price_regex_assign(spark, sf_dir):
     rules = spark.createDataFrame([(1, "r", "(?i)red", "(?i)large"), (2, "any", "(?i)r", "^$")], "k int, value string, hit string, miss string")
-    rows = titles(spark, sf_dir).where("job_id = 9")
+    rows = titles(spark, sf_dir)
     found = rows.crossJoin(F.broadcast(rules)).where("title rlike hit AND NOT title rlike miss").groupBy("listing_id").agg(F.min_by("value", "k").alias("value"))
     return rows.select("listing_id").join(found, "listing_id", "left")
 

@@ -42,9 +42,9 @@ def str_tokenize(spark, sf_dir):
     return rows.select("doc_id", F.size("t").cast("bigint").alias("n"), widths.cast("bigint").alias("widths"))
 
 
-@query("str_tokenize_ngram", f"SELECT listing_id, array_to_string({_TOKS}, ' ') AS tokens FROM titles WHERE job_id = 2")
+@query("str_tokenize_ngram", f"SELECT listing_id, array_to_string({_TOKS}, ' ') AS tokens FROM titles")
 def str_tokenize_ngram(spark, sf_dir):
-    return M.titles(spark, sf_dir).where("job_id = 2").select("listing_id", F.array_join(X.ngram_tokens(F.col("title")), " ").alias("tokens"))
+    return M.titles(spark, sf_dir).select("listing_id", F.array_join(X.ngram_tokens(F.col("title")), " ").alias("tokens"))
 
 
 @query("str_tokenize_tfidf", f"SELECT item_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(text), '[^\\p{{L}}\\p{{Nd}}]', ' ', 'g'), ' +'), lambda w: length(w) > 1 AND w NOT IN ({_TSTOP})), ' ') AS tokens FROM benchmark")
@@ -62,9 +62,9 @@ def str_singularize(spark, sf_dir):
     return M.read(spark, sf_dir, "part").select(w.alias("w")).distinct().select("w", X.singular(F.col("w")).alias("s"))
 
 
-@query("str_ngrams", f"WITH {_NG} SELECT listing_id, count(*) AS n, count(DISTINCT g) AS kinds FROM ng WHERE job_id = 3 GROUP BY 1")
+@query("str_ngrams", f"WITH {_NG} SELECT listing_id, count(*) AS n, count(DISTINCT g) AS kinds FROM ng GROUP BY 1")
 def str_ngrams(spark, sf_dir):
-    return title_ngrams(spark, sf_dir).where("job_id = 3").groupBy("listing_id").agg(F.count("*").alias("n"), F.countDistinct("g").alias("kinds"))
+    return title_ngrams(spark, sf_dir).groupBy("listing_id").agg(F.count("*").alias("n"), F.countDistinct("g").alias("kinds"))
 
 
 @query("str_docfreq", f"WITH {_NG}, n AS (SELECT job_id, count(*) AS n FROM titles GROUP BY 1) SELECT job_id, g, count(DISTINCT listing_id) AS df FROM ng JOIN n USING (job_id) GROUP BY job_id, g, n.n HAVING df >= greatest(CASE WHEN contains(g, ' ') THEN 10 ELSE 20 END, n.n // 200)")
@@ -128,9 +128,9 @@ def str_substring_resolve(spark, sf_dir):
     return M.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), v.alias("v")).select("part_id", X.resolved_substring(F.col("v")).alias("value"))
 
 
-@query("str_embed_text", "SELECT listing_id, concat_ws(' ', nullif(trim(title), ''), nullif(trim(description), '')) AS text FROM listings WHERE job_id = 1")
+@query("str_embed_text", "SELECT listing_id, concat_ws(' ', nullif(trim(title), ''), nullif(trim(description), '')) AS text FROM listings")
 def str_embed_text(spark, sf_dir):
-    return M.listings(spark, sf_dir).where("job_id = 1").select("listing_id", X.embed_text(F.col("title"), F.col("description")).alias("text"))
+    return M.listings(spark, sf_dir).select("listing_id", X.embed_text(F.col("title"), F.col("description")).alias("text"))
 
 
 _PRICES = ("£12.50", "US $1,299.00", "12,99 €", "C $5", "free", "EUR 1.234,50", "£1,234", "$", "XYZ 7.5 to 9", "")
@@ -175,10 +175,10 @@ def str_listing_id(spark, sf_dir):
     return M.read(spark, sf_dir, "pages").select("page_id", X.listing_id(url).alias("id"))
 
 
-@query("str_title_clean", "SELECT listing_id, trim(title) AS title FROM titles WHERE job_id = 6")
+@query("str_title_clean", "SELECT listing_id, trim(title) AS title FROM titles")
 def str_title_clean(spark, sf_dir):
     dressed = F.concat(F.lit("New listing"), F.col("title"), F.lit(" Opens in a new window or tab"))
-    return M.titles(spark, sf_dir).where("job_id = 6").select("listing_id", X.clean_title(dressed).alias("title"))
+    return M.titles(spark, sf_dir).select("listing_id", X.clean_title(dressed).alias("title"))
 
 
 _CONDS = ("Brand New - boxed", "pre-owned", "Opened – never used", "PARTS ONLY", "Very Good - Refurbished", "Used", "New other", "")
@@ -309,11 +309,10 @@ def str_fingerprint(spark, sf_dir):
     return M.pairs(spark, sf_dir).select("pair_id", F.to_json(L.fingerprint(F.col("a"))).alias("fields"))
 
 
-@query("str_fp_diff", "SELECT pair_id, CASE WHEN (contains(a, 'digital ed') AND contains(b, 'disc ed')) OR (contains(b, 'digital ed') AND contains(a, 'disc ed')) THEN 'edition' ELSE '' END AS diff FROM pairs WHERE contains(a, 'PS5') AND contains(b, 'PS5') AND NOT contains(a || b, 'version')")
+@query("str_fp_diff", "SELECT pair_id, CASE WHEN (contains(a, 'digital edition') AND contains(b, 'disc edition')) OR (contains(b, 'digital edition') AND contains(a, 'disc edition')) THEN 'edition' ELSE '' END AS diff FROM pairs")
 def str_fp_diff(spark, sf_dir):
-    rows = M.pairs(spark, sf_dir).where("contains(a, 'PS5') AND contains(b, 'PS5') AND NOT contains(a || b, 'version')")
     diff = L.fingerprint_diff(L.fingerprint(F.col("a")), L.fingerprint(F.col("b")))
-    return rows.select("pair_id", F.array_join(F.filter(diff, lambda k: k == "edition"), ",").alias("diff"))
+    return M.pairs(spark, sf_dir).select("pair_id", F.array_join(F.filter(diff, lambda k: k == "edition"), ",").alias("diff"))
 
 
 @query("str_merge_audit")
@@ -340,11 +339,11 @@ def dt_end_status(spark, sf_dir):
     return rows.select("o_orderkey", F.date_format(ended, "yyyy-MM-dd HH:mm:ss").alias("ended"))
 
 
-@query("js_cell", "SELECT listing_id, 'category=' || category || ';condition=' || coalesce(condition, '') AS cell FROM listings WHERE job_id = 8")
+@query("js_cell", "SELECT listing_id, 'category=' || category || ';condition=' || coalesce(condition, '') AS cell FROM listings")
 def js_cell(spark, sf_dir):
     cell = F.to_json(F.create_map(F.lit("condition"), F.coalesce("condition", F.lit("")), F.lit("category"), F.col("category")))
     entries = F.array_sort(F.map_entries(F.from_json(cell, "map<string,string>")))
-    return M.listings(spark, sf_dir).where("job_id = 8").select("listing_id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("cell"))
+    return M.listings(spark, sf_dir).select("listing_id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("cell"))
 
 
 @query("js_value", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -352,9 +351,9 @@ def js_value(spark, sf_dir):
     return M.read(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$['k']").cast("bigint").alias("k"))
 
 
-@query("js_summaries", "SELECT job_id, count(*) AS n, round(sum(price), 2) AS total FROM listings WHERE price IS NOT NULL AND part_id < 100 GROUP BY 1")
+@query("js_summaries", "SELECT job_id, count(*) AS n, round(sum(price), 2) AS total FROM listings WHERE price IS NOT NULL GROUP BY 1")
 def js_summaries(spark, sf_dir):
-    rows = M.listings(spark, sf_dir).where("price IS NOT NULL AND part_id < 100")
+    rows = M.listings(spark, sf_dir).where("price IS NOT NULL")
     packed = rows.groupBy("job_id", "part_id").agg(F.to_json(F.collect_list(F.struct("listing_id", "price"))).alias("json"))
     back = packed.select("job_id", F.explode(F.from_json("json", "array<struct<listing_id:string,price:double>>")).alias("s"))
     return back.groupBy("job_id").agg(F.count("*").alias("n"), rnd(F.sum("s.price"), 2).alias("total"))

@@ -75,28 +75,30 @@ def scr_search_join(spark, sf_dir):
     return hits.join(known, "id", "left").select("query", "id", F.coalesce("label", F.lit("unknown")).alias("label"))
 
 
-@query("dist_matrix", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS distance FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id < 60 AND b.vec_id < 60")
+@query("dist_matrix", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def dist_matrix(spark, sf_dir):
-    v = vectors(spark, sf_dir).where("id < 60")
-    a, b = v.select(F.col("id").alias("a"), F.col("v").alias("va")), v.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+    v = vectors(spark, sf_dir)
+    a, b = v.select("label", F.col("id").alias("a"), F.col("v").alias("va")), v.select("label", F.col("id").alias("b"), F.col("v").alias("vb"))
     square = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", rnd(F.sqrt(square), 5).alias("distance"))
+    return a.join(b, "label").where("a < b").select("a", "b", rnd(F.sqrt(square), 5).alias("distance"))
 
 
-@query("scr_equiv_pairs", f"SELECT a, b, round(s, 5) AS s FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format('a.embedding', 'b.embedding')} AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 300 AND b.vec_id < 300) WHERE s > 0.2 ORDER BY s DESC, a, b LIMIT 30")
+@query("scr_equiv_pairs", f"SELECT a, b, round(s, 5) AS s FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format('a.embedding', 'b.embedding')} AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) WHERE s > 0.2 ORDER BY s DESC, a, b LIMIT 30")
 def scr_equiv_pairs(spark, sf_dir):
-    v = vectors(spark, sf_dir).where("id < 300")
+    v = vectors(spark, sf_dir)
     a, b = v.select(F.col("id").alias("a"), F.col("v").alias("va"), "label"), v.select(F.col("id").alias("b"), F.col("v").alias("vb"), "label")
     pairs = a.join(b, "label").where("a < b").select("a", "b", V.cosine(F.col("va"), F.col("vb")).alias("s")).where("s > 0.2")
     return pairs.orderBy(F.desc("s"), "a", "b").limit(30).withColumn("s", rnd("s", 5))
 
 
-@query("scr_separability", f"SELECT same, count(*) AS n, round(min(s), 5) AS low, round(max(s), 5) AS high, round(avg(s), 5) AS mean FROM (SELECT a.label = b.label AS same, {_COS.format('a.embedding', 'b.embedding')} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.vec_id < 100 AND b.vec_id < 100) GROUP BY 1")
+@query("scr_separability", f"SELECT same, count(*) AS n, round(min(s), 5) AS low, round(max(s), 5) AS high, round(avg(s), 5) AS mean FROM (SELECT a.label = b.label AS same, {_COS.format('a.embedding', 'b.embedding')} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0) GROUP BY 1")
 def scr_separability(spark, sf_dir):
-    v = vectors(spark, sf_dir).where("id < 100")
-    a, b = v.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("label").alias("la")), v.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("label").alias("lb"))
-    s = V.cosine(F.col("va"), F.col("vb"))
-    return a.join(b, F.col("a") < F.col("b")).groupBy((F.col("la") == F.col("lb")).alias("same")).agg(F.count("*").alias("n"), rnd(F.min(s), 5).alias("low"), rnd(F.max(s), 5).alias("high"), rnd(F.avg(s), 5).alias("mean"))
+    v = vectors(spark, sf_dir)
+    hits = V.knn(v, queries(spark, sf_dir), v.count(), drop_self=True)
+    label = v.select("id", "label")
+    rows = hits.join(label, "id").join(label.withColumnsRenamed({"id": "query", "label": "own"}), "query")
+    s = F.col("score")
+    return rows.groupBy((F.col("label") == F.col("own")).alias("same")).agg(F.count("*").alias("n"), rnd(F.min(s), 5).alias("low"), rnd(F.max(s), 5).alias("high"), rnd(F.avg(s), 5).alias("mean"))
 
 
 _ENS = "1 / (1 + exp(-(2.4910 * logit + 0.4324 * similarity - 2.6254)))"
@@ -186,7 +188,7 @@ def agg_mine_stats(spark, sf_dir):
     return M.pairs(spark, sf_dir).groupBy("job_id").agg(F.count_if(cpu("a") & cpu("b")).alias("both_cpu"), F.count("*").alias("n"))
 
 
-_TERMS = "(SELECT doc_id AS doc, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]', ' ', 'g'), ' +'), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(f"'{w}'" for w in X.TFIDF_STOP_WORDS) + "))) AS term FROM documents WHERE lang = 'en')"
+_TERMS = "(SELECT doc_id AS doc, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]', ' ', 'g'), ' +'), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(f"'{w}'" for w in X.TFIDF_STOP_WORDS) + "))) AS term FROM documents)"
 
 
 @query(
@@ -196,7 +198,7 @@ _TERMS = "(SELECT doc_id AS doc, unnest(list_filter(string_split_regex(regexp_re
     SELECT doc, count(*) AS terms, round(max(w / l), 5) AS top FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc)) AS l FROM w) GROUP BY 1""",
 )
 def tfidf(spark, sf_dir):
-    rows = M.read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("doc"), F.explode(X.tfidf_tokens(F.col("text"))).alias("term"))
+    rows = M.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(X.tfidf_tokens(F.col("text"))).alias("term"))
     return V.tfidf(rows).groupBy("doc").agg(F.count("*").alias("terms"), rnd(F.max("weight"), 5).alias("top"))
 
 
