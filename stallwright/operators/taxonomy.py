@@ -47,12 +47,20 @@ class TaxonomyOptions:
 DEFAULTS = TaxonomyOptions()
 
 
+def distinct_titles(titles: DataFrame) -> DataFrame:
+    """One row for each title of a job, with the number of listings that have it as `weight`.
+
+    Many listings share a title; n-grams and pairs are worked out once for each.
+    """
+    return titles.groupBy("job_id", "title").agg(F.count("*").alias("weight"), F.min("listing_id").alias("listing_id"))
+
+
 def extract_ngrams(titles: DataFrame, o: TaxonomyOptions = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """Kept n-grams (job_id, g, df) and their matches (job_id, listing_id, g)."""
-    rows = titles.select("job_id", "listing_id", F.explode(F.array_distinct(ngrams(ngram_tokens(F.col("title"))))).alias("g"))
-    n = titles.groupBy("job_id").agg(F.count("*").alias("n"))
+    """Kept n-grams (job_id, g, df) and their matches (job_id, g, listing_id, weight) of distinct titles."""
+    rows = titles.select("job_id", "listing_id", "weight", F.explode(F.array_distinct(ngrams(ngram_tokens(F.col("title"))))).alias("g"))
+    n = titles.groupBy("job_id").agg(F.sum("weight").alias("n"))
     floor = F.greatest(F.when(F.contains(F.col("g"), F.lit(" ")), o.min_ngram).otherwise(o.min_unigram), F.expr(f"n div {o.divisor}"))
-    kept = rows.groupBy("job_id", "g").agg(F.count("*").alias("df")).join(F.broadcast(n), "job_id").where(F.col("df") >= floor)
+    kept = rows.groupBy("job_id", "g").agg(F.sum("weight").alias("df")).join(F.broadcast(n), "job_id").where(F.col("df") >= floor)
     return kept, rows.join(kept.select("job_id", "g"), ["job_id", "g"])
 
 
@@ -68,14 +76,14 @@ def longest_matches(kept: DataFrame, matches: DataFrame) -> DataFrame:
 
 def pair_counts(matches: DataFrame) -> DataFrame:
     """(job_id, a, b, common): listings that two n-grams share, for pairs that share any."""
-    x, y = matches.withColumnRenamed("g", "a"), matches.withColumnRenamed("g", "b")
-    return x.join(y, ["job_id", "listing_id"]).where("a < b").groupBy("job_id", "a", "b").agg(F.count("*").alias("common"))
+    x, y = matches.withColumnRenamed("g", "a"), matches.withColumnRenamed("g", "b").drop("weight")
+    return x.join(y, ["job_id", "listing_id"]).where("a < b").groupBy("job_id", "a", "b").agg(F.sum("weight").alias("common"))
 
 
 def significant(matches: DataFrame, titles: DataFrame, o: TaxonomyOptions = DEFAULTS) -> DataFrame:
     """(job_id, g, size) of match sets with at least int(significance * n) listings."""
-    n = titles.groupBy("job_id").agg(F.count("*").alias("n"))
-    sizes = matches.groupBy("job_id", "g").agg(F.count("*").alias("size")).join(F.broadcast(n), "job_id")
+    n = titles.groupBy("job_id").agg(F.sum("weight").alias("n"))
+    sizes = matches.groupBy("job_id", "g").agg(F.sum("weight").alias("size")).join(F.broadcast(n), "job_id")
     return sizes.where(F.col("size") >= F.greatest(F.lit(1), F.floor(F.col("n") * o.significance))).drop("n")
 
 
@@ -383,11 +391,11 @@ def assign_cells(titles: DataFrame, axes: DataFrame, matches: DataFrame) -> Data
 
 
 def run(titles: DataFrame, o: TaxonomyOptions = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """Axes and assignments of all jobs."""
-    kept, matches = extract_ngrams(titles, o)
+    """Axes of all jobs, and the assignment of every listing (job_id, listing_id, cell, has_conflict)."""
+    kinds = distinct_titles(titles)
+    kept, matches = extract_ngrams(kinds, o)
     matches = longest_matches(kept, matches)
-    sets = significant(matches, titles, o)
+    sets = significant(matches, kinds, o)
     axes = axes_of_jobs(sets, pair_counts(matches), o)
-    return axes, assign_cells(titles, axes, matches)
-
-
+    cells = assign_cells(kinds, axes, matches).join(kinds.select("job_id", "listing_id", "title"), ["job_id", "listing_id"]).drop("listing_id")
+    return axes, titles.select("job_id", "listing_id", "title").join(cells, ["job_id", "title"]).drop("title")

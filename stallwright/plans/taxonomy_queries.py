@@ -32,7 +32,7 @@ _EXCL = f"{_SETS}, pc AS (SELECT x.job_id, x.g AS a, y.g AS b, count(*) AS commo
 
 
 def _parts(spark, sf_dir):
-    t = titles(spark, sf_dir)
+    t = T.distinct_titles(titles(spark, sf_dir))
     kept, matches = T.extract_ngrams(t, O)
     matches = T.longest_matches(kept, matches)
     return t, kept, matches, T.significant(matches, t, O)
@@ -40,7 +40,7 @@ def _parts(spark, sf_dir):
 
 @query("match_sets", f"WITH {_LONGEST} SELECT job_id, g, count(*) AS size FROM lm GROUP BY 1, 2")
 def match_sets(spark, sf_dir):
-    return _parts(spark, sf_dir)[2].groupBy("job_id", "g").agg(F.count("*").alias("size"))
+    return _parts(spark, sf_dir)[2].groupBy("job_id", "g").agg(F.sum("weight").alias("size"))
 
 
 @query("exclusive_pairs", f"WITH {_EXCL} SELECT job_id, a, b FROM ex")
@@ -137,7 +137,7 @@ def axis_generic(spark, sf_dir):
 
 @query("substring_dedupe", f"WITH {_KEPT} SELECT s.job_id, s.g AS short, l.g AS long, CASE WHEN (s.df - l.df) / s.df::DOUBLE > 0.2 THEN l.g ELSE s.g END AS dropped FROM kept s JOIN kept l ON s.job_id = l.job_id AND s.g <> l.g AND contains(l.g, s.g) AND l.df >= 0.8 * s.df")
 def substring_dedupe(spark, sf_dir):
-    kept = T.extract_ngrams(titles(spark, sf_dir), O)[0].select("job_id", "g", "df")
+    kept = T.extract_ngrams(T.distinct_titles(titles(spark, sf_dir)), O)[0].select("job_id", "g", "df")
     s, ln = kept.select("job_id", F.col("g").alias("short"), F.col("df").alias("ds")), kept.select("job_id", F.col("g").alias("long"), F.col("df").alias("dl"))
     both = s.join(ln, "job_id").where((F.col("short") != F.col("long")) & F.contains("long", F.col("short")) & (F.col("dl") >= 0.8 * F.col("ds")))
     return both.select("job_id", "short", "long", F.when((F.col("ds") - F.col("dl")) / F.col("ds") > 0.2, F.col("long")).otherwise(F.col("short")).alias("dropped"))
@@ -333,9 +333,9 @@ _GRID = "(VALUES (50), (100), (150), (200)) d(divisor)"
 
 @query("scr_param_sweep", f"WITH {_NG}, n AS (SELECT job_id, count(*) AS n FROM titles GROUP BY 1), df AS (SELECT job_id, g, count(DISTINCT listing_id) AS df FROM ng GROUP BY 1, 2) SELECT job_id, CAST(divisor AS BIGINT) AS divisor, count(*) FILTER (df >= CASE WHEN contains(g, ' ') THEN greatest(10, n // divisor) ELSE greatest(20, 2 * greatest(10, n // divisor)) END) AS kept FROM df JOIN n USING (job_id), {_GRID} GROUP BY 1, 2")
 def scr_param_sweep(spark, sf_dir):
-    t = titles(spark, sf_dir)
-    n = t.groupBy("job_id").agg(F.count("*").alias("n"))
-    df = t.select("job_id", F.explode(F.array_distinct(X.ngrams(X.ngram_tokens(F.col("title"))))).alias("g")).groupBy("job_id", "g").agg(F.count("*").alias("df"))
+    t = T.distinct_titles(titles(spark, sf_dir))
+    n = t.groupBy("job_id").agg(F.sum("weight").alias("n"))
+    df = t.select("job_id", "weight", F.explode(F.array_distinct(X.ngrams(X.ngram_tokens(F.col("title"))))).alias("g")).groupBy("job_id", "g").agg(F.sum("weight").alias("df"))
     grid = F.explode(F.array(*(F.lit(d) for d in (50, 100, 150, 200))))
     rows = df.join(F.broadcast(n), "job_id").select("*", grid.alias("divisor")).withColumn("divisor", F.col("divisor").cast("bigint"))
     low = F.greatest(F.lit(10), F.expr("n div divisor"))

@@ -35,6 +35,13 @@ def title_ngrams(spark, sf_dir: str, longest: int = 3):
     return rows.select("listing_id", "job_id", F.explode(X.ngrams(F.col("w"), longest)).alias("g"))
 
 
+def kind_ngrams(spark, sf_dir: str, once: bool):
+    """(job_id, g, weight) of the distinct titles of a job, each n-gram once or as often as it occurs."""
+    g = X.ngrams(X.ngram_tokens(F.col("title")))
+    kinds = M.titles(spark, sf_dir).groupBy("job_id", "title").agg(F.count("*").alias("weight"))
+    return kinds.select("job_id", "weight", F.explode(F.array_distinct(g) if once else g).alias("g"))
+
+
 @query("str_tokenize", f"SELECT doc_id, count(DISTINCT t) AS n, sum(DISTINCT length(t))::BIGINT AS widths FROM (SELECT doc_id, unnest(list_filter({_W.format('text')}, lambda w: length(w) > 1)) AS t FROM documents) GROUP BY 1")
 def str_tokenize(spark, sf_dir):
     rows = M.read(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
@@ -70,14 +77,14 @@ def str_ngrams(spark, sf_dir):
 @query("str_docfreq", f"WITH {_NG}, n AS (SELECT job_id, count(*) AS n FROM titles GROUP BY 1) SELECT job_id, g, count(DISTINCT listing_id) AS df FROM ng JOIN n USING (job_id) GROUP BY job_id, g, n.n HAVING df >= greatest(CASE WHEN contains(g, ' ') THEN 10 ELSE 20 END, n.n // 200)")
 def str_docfreq(spark, sf_dir):
     n = M.titles(spark, sf_dir).groupBy("job_id").agg(F.count("*").alias("n"))
-    df = title_ngrams(spark, sf_dir).distinct().groupBy("job_id", "g").agg(F.count("*").alias("df"))
+    df = kind_ngrams(spark, sf_dir, True).groupBy("job_id", "g").agg(F.sum("weight").alias("df"))
     floor = F.greatest(F.when(F.contains(F.col("g"), F.lit(" ")), 10).otherwise(20), F.expr("n div 200"))
     return df.join(F.broadcast(n), "job_id").where(F.col("df") >= floor).select("job_id", "g", "df")
 
 
 @query("str_termfreq", f"WITH {_NG} SELECT job_id, g, count(*) AS tf FROM ng GROUP BY 1, 2 HAVING tf >= 10")
 def str_termfreq(spark, sf_dir):
-    return title_ngrams(spark, sf_dir).groupBy("job_id", "g").agg(F.count("*").alias("tf")).where("tf >= 10")
+    return kind_ngrams(spark, sf_dir, False).groupBy("job_id", "g").agg(F.sum("weight").alias("tf")).where("tf >= 10")
 
 
 @query("str_match", "SELECT p, count(*) AS n FROM titles, (VALUES ('red'), ('ring'), ('red widget'), ('small'), ('1')) v(p) WHERE CASE WHEN contains(p, ' ') THEN contains(lower(title), p) ELSE regexp_matches(lower(title), '(^|[^\\p{L}\\p{Nd}])' || p || '($|[^\\p{L}\\p{Nd}])') END GROUP BY 1")
