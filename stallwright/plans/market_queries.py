@@ -297,3 +297,9 @@ def dt_lookback_pages(spark, sf_dir):
 def agg_ui_mean_median(spark, sf_dir):
     s = K.market_stats(M.listings(spark, sf_dir), M.as_of()).where(F.col("q")[1] > 0)
     return rounded(s.agg(F.avg(F.col("q")[1]).alias("mean_median"), F.max(F.col("sold") / F.lit(180.0)).alias("max_velocity")))
+
+
+@query("dt_next_2am", "SELECT run_id, date_trunc('day', started) + INTERVAL 2 HOUR + CASE WHEN started >= date_trunc('day', started) + INTERVAL 2 HOUR THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS next FROM runs")
+def dt_next_2am(spark, sf_dir):
+    two = F.to_date("started").cast("timestamp_ntz") + F.expr("INTERVAL 2 HOURS")
+    return M.runs(spark, sf_dir).select("run_id", F.when(F.col("started") >= two, two + F.expr("INTERVAL 1 DAY")).otherwise(two).alias("next"))
