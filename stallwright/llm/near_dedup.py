@@ -43,7 +43,7 @@ MOST_BITS = 42
 #: Ids up to this many are broadcast (16 bytes each); above, Spark joins by shuffling.
 FEW = 500_000
 LARGE, ROUNDS = 16, 1
-BATCH_WORDS, CACHE = 150_000, 80_000
+BATCH_WORDS, CACHE = 60_000, 60_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 _FULL = (1 << 64) - 1
 
@@ -174,7 +174,7 @@ def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
                     rows.append((d, digest, len(sets)))
                     sets.append(shingles(t))
                     n += len(sets[-1][0])
-                if n >= BATCH_WORDS or len(rows) >= 20_000 or len(sets) >= 300:
+                if n >= BATCH_WORDS or len(rows) >= 5_000 or len(sets) >= 100:
                     yield from flush(sets, rows)
                     sets, rows, n = [], [], 0
         if rows:
