@@ -5,6 +5,8 @@ weight; each arrival falls on one of the registers, and a register keeps the ele
 are generated only up to a time by which all registers of the document are expected to be filled (early
 termination); documents with an empty register go on to twice that time. Two documents agree in a register with
 their probability Jaccard similarity. Registers form bands of `ROWS`; documents that share a band are candidates.
+Texts whose shingle counts differ among each other get a second set of registers over unit weights, which agree with
+the plain Jaccard similarity; elsewhere both are the same. Either set's bands and sketch make a pair a candidate.
 
 Texts that are equal become one node first. In each bucket every node is compared with the bucket's smallest one
 only; links that pass give components. Where a bucket still holds several components, nodes of different ones are
@@ -13,7 +15,8 @@ buckets with more than `LARGE` open nodes the condition is the Jaccard similarit
 after `ROUNDS` more round against one leader each, so that a large group of half-similar texts emits little but
 the links that join its components. All candidates are verified exactly
 on the texts: a link has a Jaccard similarity of the shingle sets of at least `THRESHOLD`. Classes are the connected components, by alternating large-star and small-star steps; nothing but counters reaches
-the driver. A pair of similarity 0.8 shares no band with probability 2e-5.
+the driver. A pair of similarity 0.8 is missed with probability 2.7e-5 (1.8e-5 share no band, 1.0e-5 differ in
+more than `MOST_BITS` sketch bits), whatever its counts.
 
 Cases: null is the empty text; texts of one to four words are one shingle; texts without words have equal texts as
 their only partners; repeated rows and ties fall into one class; rows with a null doc_id belong to their text's
@@ -138,24 +141,33 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / max(1, len(a[0]) + len(b[0]) - common)
 
 
+def banded(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and four sketch words of each row of registers; bits of different registers are independent."""
+    keys = np.zeros((len(sig), BANDS), np.uint64)
+    parts = sig.reshape(len(sig), BANDS, ROWS)
+    for k in range(ROWS):
+        keys = mixed((keys + parts[:, :, k]) * PRIME)
+    keys = mixed(keys + np.arange(BANDS, dtype=np.uint64) * PRIME).astype(np.int64)
+    bits = np.zeros((len(sig), 256), np.uint8)
+    bits[:, :REGISTERS] = (mixed(sig + np.arange(REGISTERS, dtype=np.uint64) * PRIME) >> np.uint64(63)).astype(np.uint8)
+    return keys, np.packbits(bits, axis=1).view(np.int64)
+
+
 def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, digest of the text, band keys and four sketch words.
+    """doc_id, digest of the text, band keys and sketch words: four of the weighted registers, four of the unit ones.
 
     Band keys are null where the same task has met the text before.
     """
     schema = "doc_id bigint, digest binary, bands array<bigint>, sketch array<bigint>"
 
     def flush(sets: list, rows: list) -> Iterator[pa.RecordBatch]:
-        sig = registers([(h, weights(c)) for h, c in sets])
-        keys = np.zeros((len(sets), BANDS), np.uint64)
-        parts = sig.reshape(len(sets), BANDS, ROWS)
-        for k in range(ROWS):
-            keys = mixed((keys + parts[:, :, k]) * PRIME)
-        keys = mixed(keys + np.arange(BANDS, dtype=np.uint64) * PRIME).astype(np.int64)
-        bits = np.zeros((len(sets), 256), np.uint8)
-        bits[:, :REGISTERS] = (mixed(sig) >> np.uint64(63)).astype(np.uint8)
-        sketch = np.packbits(bits, axis=1).view(np.int64)
-        out = [(d, g, None if k is None else keys[k].tolist() if len(sets[k][0]) else [], None if k is None else sketch[k].tolist()) for d, g, k in rows]
+        keys, sketch = banded(registers([(h, weights(c)) for h, c in sets]))
+        bands, sketch = list(keys), np.concatenate([sketch, sketch], axis=1)
+        uneven = [k for k, (_, c) in enumerate(sets) if len(c) and c.min() < c.max()]
+        more, sketch[uneven, 4:] = banded(registers([(sets[k][0], np.ones(len(sets[k][0]))) for k in uneven]))
+        for k, x in zip(uneven, more):
+            bands[k] = np.union1d(bands[k], x)
+        out = [(d, g, None if k is None else bands[k].tolist() if len(sets[k][0]) else [], None if k is None else sketch[k].tolist()) for d, g, k in rows]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["doc_id", "digest", "bands", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +199,10 @@ def text_digest(text: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
 
 
-def _bits(a: str, b: str):
-    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, 4)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+def _close(a: str, b: str):
+    """Whether the weighted or the unit sketches differ in few bits."""
+    weighted, unit = (sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(at + 1, at + 4)), F.bit_count(F.col(a)[at].bitwiseXOR(F.col(b)[at]))) for at in (0, 4))
+    return (weighted <= MOST_BITS) | (unit <= MOST_BITS)
 
 
 def texts_of(ids: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -253,14 +267,14 @@ def _pairs(links: list[DataFrame]) -> DataFrame:
 def _alike(threshold: float):
     """Whether the shingle hashes ha and hb have the similarity; sketches are compared first."""
     na, nb, common = F.size("ha"), F.size("hb"), F.size(F.array_intersect("ha", "hb"))
-    return (_bits("sa", "sb") <= MOST_BITS) & (10 * F.least(na, nb) >= 10 * threshold * F.greatest(na, nb)) & ((1 + threshold) * common >= threshold * (na + nb) - 1e-6)
+    return _close("sa", "sb") & (10 * F.least(na, nb) >= 10 * threshold * F.greatest(na, nb)) & ((1 + threshold) * common >= threshold * (na + nb) - 1e-6)
 
 
 def _met_again(rows: DataFrame, more: list[str], also) -> DataFrame:
     """Pairs (a, b) of nodes with different roots in a bucket, close in their sketches, that meet `also`."""
     names = {"digest": "", "root": "r", "sketch": "s"} | {c: c[0] for c in more}
     x, y = (rows.select("bucket", *(F.col(c).alias(n + side) for c, n in names.items())) for side in "ab")
-    return x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & (_bits("sa", "sb") <= MOST_BITS) & also).select("a", "b", "rb")
+    return x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ra") < F.col("rb")) & _close("sa", "sb") & also).select("a", "b", "rb")
 
 
 def _large_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, links: list[DataFrame], docs: DataFrame, text: str, threshold: float) -> list[DataFrame]:
@@ -301,7 +315,7 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold:
     sketches = cut(sketches)
     star = met.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
     close = star.join(sketches.select(F.col("digest").alias("b"), F.col("sketch").alias("sb")), "b")
-    close = close.join(sketches.select(F.col("digest").alias("a"), F.col("sketch").alias("sa")), "a").where(_bits("sa", "sb") <= MOST_BITS)
+    close = close.join(sketches.select(F.col("digest").alias("a"), F.col("sketch").alias("sa")), "a").where(_close("sa", "sb"))
     links = verified(close.select("a", "b"), docs, text, threshold)
     roots = cut(components(links))
     release(docs.sparkSession)

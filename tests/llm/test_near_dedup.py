@@ -71,3 +71,16 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(40)] + [("900", "901")], "a string, b string")
     got = {r.node: r.root for r in N.components(links).collect()}
     assert set(got.values()) == {"000", "900"} and len(got) == 43
+
+
+def uneven(seed, times):
+    """20 of 100 shingles `times` times, 80 once; the set of shingles is the same for any `times`."""
+    w = [f"s{seed}w{k}" for k in range(100)]
+    return " ".join(w[:20] * times + w)
+
+
+def test_pairs_with_unequal_counts_are_linked(spark):
+    texts = {2 * seed + k: uneven(seed, times) for seed in range(12) for k, times in enumerate((1, 1000))}
+    assert all(N.similarity(N.shingles(texts[2 * s]), N.shingles(texts[2 * s + 1])) == 1 for s in range(12))
+    got = {r.doc_id: r.class_id for r in N.classes(docs(spark, texts)).collect()}
+    assert got == {d: d - d % 2 for d in texts}
