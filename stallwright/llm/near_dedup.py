@@ -11,10 +11,10 @@ the plain Jaccard similarity; elsewhere both are the same. Either set's bands an
 Texts that are equal become one node first. In each bucket every node is compared with the bucket's smallest one
 only; links that pass give components. Where a bucket still holds several components, nodes of different ones are
 joined under a condition on 1-bit sketches inside the join, so only pairs that are close already are emitted; in
-buckets with more than `LARGE` open nodes the condition is the Jaccard similarity itself, on 32-bit shingle hashes,
+buckets with more than `LARGE` open nodes the condition is the similarity itself, on 32-bit shingle hashes,
 after `ROUNDS` more round against one leader each, so that a large group of half-similar texts emits little but
 the links that join its components. All candidates are verified exactly
-on the texts: a link has a Jaccard similarity of the shingle sets of at least `THRESHOLD`. Classes are the connected components, by alternating large-star and small-star steps; nothing but counters reaches
+on the texts: a link has a plain or a probability Jaccard similarity of at least `THRESHOLD`. Classes are the connected components, by alternating large-star and small-star steps; nothing but counters reaches
 the driver. A pair of similarity 0.8 is missed with probability 2.7e-5 (1.8e-5 share no band, 1.0e-5 differ in
 more than `MOST_BITS` sketch bits), whatever its counts.
 
@@ -136,9 +136,10 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Jaccard similarity of two sets of (hashes, counts)."""
+    """The larger of plain and probability Jaccard similarity of two sets of (hashes, counts)."""
     common = len(np.intersect1d(a[0], b[0], assume_unique=True))
-    return common / max(1, len(a[0]) + len(b[0]) - common)
+    plain = common / max(1, len(a[0]) + len(b[0]) - common)
+    return max(plain, probability_jaccard((a[0], weights(a[1])), (b[0], weights(b[1])))) if common else 0.0
 
 
 def banded(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,14 +214,21 @@ def texts_of(ids: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """digest and its distinct shingles as 32-bit hashes."""
+    """digest and its distinct shingles as 32-bit hashes, by levels of equal weight; one level has weight 1."""
+
+    def levels(t: str | None) -> list[dict]:
+        h, c = shingles(t)
+        h = (h >> np.uint64(32)).astype(np.uint32).astype(np.int32)
+        each = np.unique(c)
+        return [{"w": float(weights(n)) if len(each) > 1 else 1.0, "h": np.unique(h[c == n]).tolist()} for n in each]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique((shingles(t.as_py())[0] >> np.uint64(32)).astype(np.uint32).astype(np.int32)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["digest", "hashes"])
+            sets = [levels(t.as_py()) for t in b.column(1)]
+            kind = pa.list_(pa.struct([("w", pa.float64()), ("h", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, kind)], names=["digest", "levels"])
 
-    return texts.select("digest", "_text").mapInArrow(run, "digest binary, hashes array<int>")
+    return texts.select("digest", "_text").mapInArrow(run, "digest binary, levels array<struct<w: double, h: array<int>>>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -264,10 +272,35 @@ def _pairs(links: list[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.union, (x.select("a", "b") for x in links))
 
 
+def _sum(x, f):
+    return F.aggregate(x, F.lit(0.0), lambda total, y: total + f(y))
+
+
 def _alike(threshold: float):
-    """Whether the shingle hashes ha and hb have the similarity; sketches are compared first."""
-    na, nb, common = F.size("ha"), F.size("hb"), F.size(F.array_intersect("ha", "hb"))
-    return _close("sa", "sb") & (10 * F.least(na, nb) >= 10 * threshold * F.greatest(na, nb)) & ((1 + threshold) * common >= threshold * (na + nb) - 1e-6)
+    """Whether the levels la and lb of shingle hashes have the similarity, plain or probability Jaccard.
+
+    Sketches are compared first. Hashes of 32 bits may clash, so a little less than the threshold passes.
+    """
+    least = threshold - 0.001
+    na, nb = (_sum(x, lambda y: F.size(y["h"]).cast("double")) for x in ("la", "lb"))
+    wa, wb = (_sum(x, lambda y: y["w"] * F.size(y["h"])) for x in ("la", "lb"))
+    met = F.flatten(F.transform("la", lambda x: F.transform("lb", lambda y: F.struct(x["w"].alias("x"), y["w"].alias("y"), F.size(F.array_intersect(x["h"], y["h"])).cast("double").alias("n")))))
+
+    def weighted(p, wa, wb):
+        only_a, only_b = wa - _sum(p, lambda z: z["n"] * z["x"]), wb - _sum(p, lambda z: z["n"] * z["y"])
+
+        def share(z, rest):
+            q = z["x"] / z["y"]
+            return z["n"] * z["x"] / (_sum(p, lambda o: o["n"] * F.greatest(o["x"], q * o["y"])) + rest["a"] + q * rest["b"])
+
+        return F.transform(F.array(F.struct(only_a.alias("a"), only_b.alias("b"))), lambda rest: _sum(F.filter(p, lambda z: z["n"] > 0), lambda z: share(z, rest)))[0]
+
+    def enough(p):
+        common = _sum(p, lambda z: z["n"])
+        return ((1 + least) * common >= least * (na + nb)) | ((F.size(p) > 1) & (weighted(p, wa, wb) >= least))
+
+    one = (F.size("la") == 1) & (F.size("lb") == 1)
+    return _close("sa", "sb") & (~one | (F.least(na, nb) >= least * F.greatest(na, nb))) & F.exists(F.array(met), enough)
 
 
 def _met_again(rows: DataFrame, more: list[str], also) -> DataFrame:
@@ -278,12 +311,12 @@ def _met_again(rows: DataFrame, more: list[str], also) -> DataFrame:
 
 
 def _large_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, links: list[DataFrame], docs: DataFrame, text: str, threshold: float) -> list[DataFrame]:
-    """Links of the large buckets (bucket, digest); `sets` has the sketch and the shingle hashes of their nodes.
+    """Links of the large buckets (bucket, digest); `sets` has the sketch and the levels of shingle hashes of their nodes.
 
     First against a leader that a hash picks, with work in proportion to the bucket; this joins the many members of
     a large class. What is left for the join of all that are still apart are nodes without a link to any leader.
     """
-    a, b = ({c: f"{n}{side}" for c, n in (("digest", ""), ("sketch", "s"), ("hashes", "h"))} for side in "ab")
+    a, b = ({c: f"{n}{side}" for c, n in (("digest", ""), ("sketch", "s"), ("levels", "l"))} for side in "ab")
     found: list[DataFrame] = []
     for k in range(ROUNDS + 1):
         now = rows.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -294,7 +327,7 @@ def _large_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, links: list
             met = met.join(sets.withColumnsRenamed(b), "b").withColumnRenamed("a", "_a").join(sets.withColumnsRenamed(a), (F.col("_a") == F.col("a")) & _alike(threshold))
             pairs = met.groupBy("b", "ra").agg(F.min("a").alias("a"))
         else:
-            pairs = _met_again(now.join(still.select("bucket"), "bucket", "left_semi").join(sets, "digest"), ["hashes"], _alike(threshold)).groupBy("a", "rb").agg(F.min("b").alias("b"))
+            pairs = _met_again(now.join(still.select("bucket"), "bucket", "left_semi").join(sets, "digest"), ["levels"], _alike(threshold)).groupBy("a", "rb").agg(F.min("b").alias("b"))
         found.append(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, text, threshold))
         if k < ROUNDS:
             roots = cut(components(_pairs(links + found)))

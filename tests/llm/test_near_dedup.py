@@ -84,3 +84,31 @@ def test_pairs_with_unequal_counts_are_linked(spark):
     assert all(N.similarity(N.shingles(texts[2 * s]), N.shingles(texts[2 * s + 1])) == 1 for s in range(12))
     got = {r.doc_id: r.class_id for r in N.classes(docs(spark, texts)).collect()}
     assert got == {d: d - d % 2 for d in texts}
+
+
+def weighted_pair(seed, k):
+    """Texts of 94 shingles, of which 74 are common; 30 of these have 54 or 55 occurrences in both."""
+    w = [f"s{seed}w{i}" for i in range(74)]
+    return " ".join(w[:30] * 54 + w + [f"s{seed}x{k}y{i}" for i in range(20)])
+
+
+@pytest.mark.parametrize("large", [16, 1])
+def test_probability_jaccard_links(spark, monkeypatch, large):
+    monkeypatch.setattr(N, "LARGE", large)
+    texts = {10 * seed + k: weighted_pair(seed, k) for seed in range(3) for k in range(3)}
+    (ha, ca), (hb, cb) = N.shingles(texts[0]), N.shingles(texts[1])
+    assert len(np.intersect1d(ha, hb)) / len(np.union1d(ha, hb)) < 0.7 < 0.8 <= N.probability_jaccard((ha, N.weights(ca)), (hb, N.weights(cb)))
+    got = {r.doc_id: r.class_id for r in N.classes(docs(spark, texts)).collect()}
+    assert got == {d: d - d % 10 for d in texts}
+
+
+def test_large_bucket_condition_equals_similarity(spark):
+    from pyspark.sql import functions as F
+
+    parts = [uneven(0, 1), uneven(0, 1000), weighted_pair(1, 0), weighted_pair(1, 1), prose(1, 300), edited(prose(1, 300), 6, 3), edited(prose(1, 300), 20, 3), "one"]
+    texts = spark.createDataFrame([(bytes([k]), t) for k, t in enumerate(parts)], "digest binary, _text string")
+    sets = N.shingle_sets(texts).withColumn("s", F.array(*[F.lit(0).cast("bigint")] * 8))
+    a, b = (sets.select(F.col("digest").alias(x), F.col("levels").alias(f"l{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    got = {(r.a[0], r.b[0]) for r in a.join(b, F.col("a") < F.col("b")).where(N._alike(0.8)).collect()}
+    s = [N.shingles(t) for t in parts]
+    assert got == {(i, j) for i in range(8) for j in range(i + 1, 8) if N.similarity(s[i], s[j]) >= 0.8} and {(0, 1), (2, 3), (4, 5)} <= got
