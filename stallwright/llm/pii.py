@@ -4,7 +4,7 @@ The base pass finds e-mail addresses, IPv4 addresses, card numbers and phone num
 runs transducers over the text: homoglyphs and digits of other scripts become ASCII, invisible characters go, runs
 of spelled digits become digits, and at/dot disguises become @ and '.'. Each normalised character keeps the range
 of source characters it came from, so what is found in the normalised text maps back to exact source offsets.
-Spans of the second pass are added if they use a rewritten character and touch no base span of their kind.
+Spans of the second pass are added if they use a rewritten character or span a removed one, and touch no base span of their kind.
 
 Offsets are code points, the end exclusive. Cases: null and empty texts have no spans; repeated rows each get
 their own result; an empty table gives an empty one; extra columns are ignored; patterns are linear in the length
@@ -157,8 +157,8 @@ def spans(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
         whole = {k: list(v) for k, v in base.items()}
         for kind, found in identifiers(tape.text).items():
             for a, b in found:
-                if any(tape.new[a:b]):
-                    first, end = tape.starts[a], tape.ends[b - 1]
+                first, end = tape.starts[a], tape.ends[b - 1]
+                if any(tape.new[a:b]) or end - first > b - a:
                     if all(end <= x or y <= first for x, y in base[kind]):
                         whole[kind].append((first, end))
     return order(base), order(whole)

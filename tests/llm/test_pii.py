@@ -38,3 +38,9 @@ def test_operator(spark):
     assert clean.columns == df.columns
     assert {r.doc_id: r.n_chars for r in clean.collect()}[1] == len("<EMAIL> and <IP>")
     assert P.personal_data(df.limit(0)).count() == 0
+
+
+def test_invisible_characters_alone_disguise():
+    for c in P.INVISIBLE:
+        for t, k in ((f"bob@exam{c}ple.com", "email"), (f"bob{c}@example.com", "email"), (f"4111{c}-1111-1111-1111", "card")):
+            assert (k, t) in found(f"x {t} y") and P.masked(f"x {t} y") == f"x <{k.upper()}> y", (t, found(t))
