@@ -4,7 +4,8 @@ The base pass finds e-mail addresses, IPv4 addresses, card numbers and phone num
 runs transducers over the text: homoglyphs and digits of other scripts become ASCII, invisible characters go, runs
 of spelled digits become digits, and at/dot disguises become @ and '.'. Each normalised character keeps the range
 of source characters it came from, so what is found in the normalised text maps back to exact source offsets.
-Spans of the second pass are added if they use a rewritten character or span a removed one, and touch no base span of their kind.
+Spans of the second pass are added if they use a rewritten character or span a removed one, and lie in no base span of
+their kind; one that reaches beyond a base span is added beside it.
 
 Offsets are code points, the end exclusive. Cases: null and empty texts have no spans; repeated rows each get
 their own result; an empty table gives an empty one; extra columns are ignored; patterns are linear in the length
@@ -13,6 +14,7 @@ of a text.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -145,6 +147,12 @@ def deobfuscated(text: str) -> Tape:
     return tape
 
 
+def inside(first: int, end: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether one of the ascending, non-overlapping spans contains the range."""
+    k = bisect.bisect_right(spans, (first, float("inf"))) - 1
+    return k >= 0 and end <= spans[k][1]
+
+
 def spans(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """(start, kind, end) of base spans, and of base and added ones, each by start and then kind as listed."""
     if not text:
@@ -159,7 +167,7 @@ def spans(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
             for a, b in found:
                 first, end = tape.starts[a], tape.ends[b - 1]
                 if any(tape.new[a:b]) or end - first > b - a:
-                    if all(end <= x or y <= first for x, y in base[kind]):
+                    if not inside(first, end, base[kind]):
                         whole[kind].append((first, end))
     return order(base), order(whole)
 

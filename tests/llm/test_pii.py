@@ -44,3 +44,10 @@ def test_invisible_characters_alone_disguise():
     for c in P.INVISIBLE:
         for t, k in ((f"bob@exam{c}ple.com", "email"), (f"bob{c}@example.com", "email"), (f"4111{c}-1111-1111-1111", "card")):
             assert (k, t) in found(f"x {t} y") and P.masked(f"x {t} y") == f"x <{k.upper()}> y", (t, found(t))
+
+
+def test_longer_disguised_spans_are_added_beside_base_spans():
+    for t, mask in (("jоhn@example.com", "<EMAIL>"), ("john [dot] smith@example.com", "<EMAIL>"), ("+1 555 123 456 seven eight", "<PHONE>")):
+        base, whole = P.spans(t)
+        assert len(base) == 1 and len(whole) == 2 and set(base) < set(whole) and P.masked(t) == mask
+    assert P.spans("а bob@example.com")[0] == P.spans("а bob@example.com")[1]
