@@ -49,11 +49,16 @@ _SPELLED_DIGITS = re.compile(rf"(?i)(?<![A-Za-z])(?:{_WORD})(?:[ ,-]{{1,2}}(?:{_
 _SEPARATED = re.compile(rf"(?i)({_WORD}|[0-9]+)([ ,-]*)")
 _AT = re.compile(r"(?i)[ \t]{0,2}[\[({<][ \t]{0,2}(?:at|@)[ \t]{0,2}[\])}>][ \t]{0,2}")
 _DOT = re.compile(r"(?i)[ \t]{0,2}[\[({<][ \t]{0,2}(?:dot|\.)[ \t]{0,2}[\])}>][ \t]{0,2}")
-_WORDED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?: dot [A-Za-z0-9_%+-]++|\.[A-Za-z0-9_%+-]++){0,4} at (?!(?:the|an?|this|that) )[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++){0,4}?(?: dot [A-Za-z0-9-]++)+")
+_JOINT = re.compile(r"(?i)@| at (?!(?:the|an?|this|that) )")
+_WORDED_DOMAIN = re.compile(r"(?i)[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)++")
+_HOST = re.compile(r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+_DIGIT_DOT = re.compile(r"(?i)(?<=[0-9]) dot (?=[0-9])")
 _ODD = "".join(HOMOGLYPHS) + INVISIBLE + "！-～"
-_ODD_CHAR = re.compile(rf"[{_ODD}٠-٩۰-۹०-९]")
-#: A text without any of these can't change.
-TRIGGER = re.compile(rf"(?i)[{_ODD}٠-٩۰-۹०-९]|[\[({{<][ \t]{{0,2}}(?:at|dot|@|\.)[ \t]{{0,2}}[\])}}>]| dot |(?:{_WORD})[ ,-]{{1,2}}(?:{_WORD}|[0-9])")
+#: Decimal digits of all other scripts; each script has ten in a row.
+_DIGITS = "".join(f"{chr(c)}-{chr(c + 9)}" for c in range(0x80, 0x20000) if unicodedata.decimal(chr(c), None) == 0)
+_ODD_CHAR = re.compile(rf"[{_ODD}{_DIGITS}]")
+#: A text without any of these or an odd character can't change.
+TRIGGER = re.compile(rf"(?i)[\[({{<][ \t]{{0,2}}(?:at|dot|@|\.)[ \t]{{0,2}}[\])}}>]| dot | at [A-Za-z0-9-]++\.[A-Za-z0-9]|(?:{_WORD})[ ,-]{{1,2}}(?:{_WORD}|[0-9])")
 
 
 def _ascii(c: str) -> str:
@@ -128,21 +133,42 @@ class Tape:
         self.text, self.starts, self.ends, self.new = "".join(text), starts, ends, new
 
 
+def _worded(text: str) -> list[tuple[int, int, str]]:
+    """Edits for ' at ' and ' dot ' in addresses around each @ or ' at '; each joint reads up to its neighbours only."""
+    edits, last = [], 0
+    for m in _JOINT.finditer(text):
+        domain = _WORDED_DOMAIN.match(text, m.end())
+        if m.start() < last or not domain:
+            continue
+        first = m.start()
+        while first > last:
+            if text[first - 1] in LOCAL:
+                first -= 1
+            elif first < m.start() and text[first - 1] == " " and first - 5 > last and text[first - 5 : first].lower() == " dot " and text[first - 6] in LOCAL:
+                first -= 5
+            else:
+                break
+        if first == m.start() or m[0] != "@" and " dot " not in domain[0].lower() and not _HOST.fullmatch(domain[0]):
+            continue
+        last = domain.end()
+        edits += [(m.start(), m.end(), "@")] if m[0] != "@" else []
+        edits += [(d.start() + at, d.end() + at, ".") for at, part in ((first, text[first : m.start()]), (m.end(), domain[0])) for d in re.finditer("(?i) dot ", part)]
+    return sorted(edits)
+
+
 def deobfuscated(text: str) -> Tape:
     tape = Tape(text)
     tape.rewrite([(m.start(), m.end(), _ascii(m[0])) for m in _ODD_CHAR.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
-    edits = []
-    for m in _WORDED.finditer(tape.text):
-        edits += [(d.start() + m.start(), d.end() + m.start(), "@" if d[0].strip().lower() == "at" else ".") for d in re.finditer("(?i) dot | at ", m[0])]
-    tape.rewrite(edits)
+    tape.rewrite(_worded(tape.text))
     edits = []
     for m in _SPELLED_DIGITS.finditer(tape.text):
         for x in _SEPARATED.finditer(m[0]):
             a, b = m.start() + x.start(), m.start() + x.end()
             edits.append((a, b if b < m.end() else m.start() + x.end(1), SPELLED.get(x[1].lower(), x[1])))
     tape.rewrite(edits)
+    tape.rewrite([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), "+") for m in re.finditer(r"(?i)(?<![A-Za-z])plus[ -]{1,2}(?=[0-9])", tape.text)])
     return tape
 
@@ -160,7 +186,7 @@ def spans(text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int,
     base = identifiers(text)
     order = lambda found: sorted(((a, k, b) for k in KINDS for a, b in found[k]), key=lambda x: (x[0], KINDS.index(x[1])))
     whole = base
-    if TRIGGER.search(text):
+    if TRIGGER.search(text) or not text.isascii() and _ODD_CHAR.search(text):
         tape = deobfuscated(text)
         whole = {k: list(v) for k, v in base.items()}
         for kind, found in identifiers(tape.text).items():

@@ -51,3 +51,18 @@ def test_longer_disguised_spans_are_added_beside_base_spans():
         base, whole = P.spans(t)
         assert len(base) == 1 and len(whole) == 2 and set(base) < set(whole) and P.masked(t) == mask
     assert P.spans("а bob@example.com")[0] == P.spans("а bob@example.com")[1]
+
+
+def test_worded_forms_and_digits_of_all_scripts():
+    for t in ("john@example dot com", "john at example.com", "a.b.c.d.e.f at x dot com", "a dot b dot c dot d dot e dot f at x dot com", "x at g dot b dot c dot d dot e dot f dot com"):
+        assert found(f"so, {t}, then") == [("email", t)], (t, found(f"so, {t}, then"))
+    assert P.masked("so a dot b@c.org, then") == "so <EMAIL>, then"
+    assert found("so 192 dot 168 dot 0 dot 1, then") == [("ip", "192 dot 168 dot 0 dot 1")]
+    for zero in (0x660, 0x9E6, 0xE50, 0x1040, 0x1D7CE):  # Arabic, Bengali, Thai, Myanmar, mathematical bold
+        t = "".join(chr(zero + int(c)) if c.isdigit() else c for c in "192.168.0.1")
+        assert found(f"so {t} then") == [("ip", t)]
+    assert found("we met at the gate, at 10.30 and at noon") == []
+
+
+def test_worded_forms_take_linear_time():
+    P.spans("a dot " * 40_000 + "b at c " * 40_000 + "a@b dot c " * 20_000)
