@@ -264,9 +264,8 @@ def cc_bfs(spark, sf_dir):
 
 
 def _by_label(spark, sf_dir):
-    """The vectors of each label, at most as many as the clustering takes."""
-    k = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(42)), "vec_id"))
-    return M.read(spark, sf_dir, "embeddings").withColumn("k", k).where(F.col("k") <= G.MOST).select("vec_id", "label", "embedding")
+    """The vectors of each label, all of them."""
+    return M.read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
 
 
 @query("ward_linkage")

@@ -140,3 +140,15 @@ def test_split_is_stratified(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 4).alias("g"), (F.col("id") % 2 == 0).alias("y"))
     n = {(r.g, r.part): r["count"] for r in sampling.split(df, ["g", "y"], "k", {"train": 0.8, "dev": 0.1, "test": 0.1}).groupBy("g", "part").count().collect()}
     assert all(n[g, "train"] == 200 and n[g, "dev"] == n[g, "test"] == 25 for g in range(4))
+
+
+def test_ward_and_farthest_take_every_vector_of_a_label(spark, tmp_path, monkeypatch):
+    from stallwright.operators import clustering
+    from stallwright.plans import taxonomy_queries as Q
+
+    monkeypatch.setattr(clustering, "MOST", 4)
+    rows = [(k, 1, [float(k * k), 1.0]) for k in range(12)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(r.vec_id for r in Q.ward_cut(spark, str(tmp_path)).collect()) == list(range(12))
+    assert Q.ward_linkage(spark, str(tmp_path)).count() == 11
+    assert {0, 11} <= {r.vec_id for r in Q.smp_farthest(spark, str(tmp_path)).collect()} and Q.smp_farthest(spark, str(tmp_path)).count() == 10
