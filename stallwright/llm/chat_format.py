@@ -101,7 +101,7 @@ def read_back(chats: DataFrame) -> DataFrame:
     """The contract's digests, from the formatted conversations alone."""
     turns = F.transform(parsed(F.col("formatted")), lambda t: F.struct(unescaped(t["role"]).alias("role"), unescaped(t["text"]).alias("text")))
     rows = chats.select("conv_id", "formatted", "loss_spans", turns.alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(F.transform("loss_spans", lambda x: unescaped(F.col("formatted").substr((x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))), "")
     rows = rows.withColumn("loss", loss)
     return rows.select(
         "conv_id",

@@ -136,3 +136,13 @@ def test_training_order(spark):
     ids = np.concatenate([next(O.read(listed, r.slot, 1))[: r.n_ids] for r in mine])
     assert ids.tolist() == [*encoder(path)(texts[92]), 0]
     assert O.materialise(df.limit(0), path, fresh_dir(spark, "order"))[0].count() == 0
+
+
+def test_chat_loss_is_cut_out_by_the_spans(spark):
+    rows = [(1, 0, "user", "h\U0001f600i"), (1, 1, "assistant", "a</s>~1\U0001f600"), (1, 2, "assistant", "[INST] b"), (2, 0, "user", "none")]
+    chats = C.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    want = "a</s>~1\U0001f600[INST] b"
+    got = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in C.read_back(chats).collect()}
+    assert got == {1: (len(want), hashlib.sha256(want.encode()).hexdigest()), 2: (0, hashlib.sha256(b"").hexdigest())}
+    fewer = chats.withColumn("loss_spans", F.slice("loss_spans", 1, 1))
+    assert {r.conv_id: r.loss_chars for r in C.read_back(fewer).collect()} == {1: 8, 2: 0}
