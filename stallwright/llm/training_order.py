@@ -1,19 +1,20 @@
-"""Training-order materialisation: a keyed Feistel permutation gives every token sequence its place.
-
-Documents become token ids with an end-of-text id, cut into sequences of `LENGTH` ids, the last one filled up. A
-sequence is numbered by its task and its place in the task's output. A balanced Feistel network over the smallest
-even number of bits, walked until it lands inside the domain (cycle-walking), permutes these numbers under a key.
-The permuted domain is cut into equal ranges, one for each shard, so the sequences are dealt evenly without
-sampling; a shard is sorted by permuted number and written as records of equal length. As tasks do not fill their
-share of the domain, the numbers have gaps: a sequence's global slot is its shard's first slot plus its place in the
-shard, with the first slots from the shards' counts. Slots are gapless from 0, in the order of the permuted numbers.
-
-A shard is a file of 16-bit little-endian ids under a name no other attempt uses; the manifest (shard, file, first
-slot, count) is what a reader needs to seek to any slot: byte ``(slot - first) * stride``. `read` continues from any
-slot. Only files named by finished tasks are in the manifest, so lost executors leave nothing wrong behind.
-
-Cases: null and empty texts are one sequence with the end-of-text id; repeated rows are sequences of their own; an
-empty table gives an empty manifest; extra columns are ignored.
+"""Training-order materialisation: a keyed Feistel permutation gives every token sequence its global slot.
+
+Documents become token ids with an end-of-text id, cut into sequences of `LENGTH` ids, the last one filled up. Two
+passes go over the texts. The first counts the sequences of each task, N in all, so that they have numbers without a
+gap; it also keeps where tokens end (a bit for each byte), from which the second pass gets the ids without encoding
+again. A balanced Feistel network over the smallest even number of bits that holds N, walked until it lands below N
+(cycle-walking), maps the numbers one to one on the slots 0 to N - 1. A shard is a range of as many slots as fit in
+`SHARD_BYTES` (more where `MOST_SHARDS` shards would not do); its task gets it whole, sorts it by slot and writes records of equal length.
+
+A shard is a file of little-endian ids, 16 bits where the vocabulary allows, under a name no other attempt uses; the
+manifest (shard, file, first slot, count) is what a reader needs to seek to any slot: byte ``(slot - first) *
+stride``. Checksums are those of the records read back. `read` continues from any slot. Only files named by finished
+tasks are in the manifest, so lost executors leave nothing wrong behind. Both passes must see the same partitions, as
+`zipWithIndex` asks for too; the second compares them with the first and fails if they differ, it never misplaces.
+
+Cases: null and empty texts are one sequence with the end-of-text id; repeated rows are sequences of their own; very
+long texts are many sequences; an empty table gives an empty manifest; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_dir, table
-from .tokenizer import encoder
+from .tokenizer import encoder, id_type, token_bytes
 from .warc_merge import filesystem
 
 LENGTH, EOT, KEY, ROUNDS = 512, 0, 20240229, 6
-SHARD_BYTES = 16 << 20
-#: Sequences a task may number: 2^36 ids of `LENGTH` 512.
-SHARE_BITS = 27
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 100_000
 
 
 def round_keys(key: int, rounds: int = ROUNDS) -> list[int]:
@@ -82,82 +81,153 @@ def restored(x: np.ndarray, size: int, keys: list[int]) -> np.ndarray:
     return out
 
 
+class Cuts:
+    """The tokens of a task's texts as a file of one bit for each byte, set where a token ends; a sixth of the ids' size."""
+
+    def __init__(self, path: str, known: dict[bytes, int]):
+        self.known, self.size = known, np.zeros(max(known.values()) + 1, np.int64)
+        for token, k in known.items():
+            self.size[k] = len(token)
+        self.fs, self.at = filesystem(path)
+
+    def open_output(self) -> None:
+        self.fs.create_dir(self.at.rsplit("/", 1)[0], recursive=True)
+        self.file, self.packer = self.fs.open_output_stream(self.at, compression=None), zlib.compressobj(1)
+
+    def put(self, raw: bytes, ids: np.ndarray) -> None:
+        ends, bits = np.cumsum(self.size[ids]), np.zeros(len(raw), np.uint8)
+        if len(raw) != (ends[-1] if len(ends) else 0):
+            raise ValueError("the ids do not spell the text out")
+        bits[ends - 1] = 1
+        self.file.write(self.packer.compress(np.packbits(bits).tobytes()))
+
+    def close_output(self) -> None:
+        self.file.write(self.packer.flush())
+        self.file.close()
+
+    def open_input(self) -> None:
+        self.file, self.unpacker, self.rest = self.fs.open_input_stream(self.at, compression=None), zlib.decompressobj(), b""
+
+    def get(self, raw: bytes) -> list[int]:
+        """Ids of the next text; fails if the text isn't the one that was put."""
+        n = -(-len(raw) // 8)
+        while len(self.rest) < n:
+            data = self.file.read(1 << 18)
+            if not data:
+                raise ValueError("the input changed between the passes over it")
+            self.rest += self.unpacker.decompress(data)
+        ends = (np.flatnonzero(np.unpackbits(np.frombuffer(self.rest[:n], np.uint8))) + 1).tolist()
+        self.rest = self.rest[n:]
+        try:
+            return [self.known[raw[a:b]] for a, b in zip([0, *ends], ends)]
+        except KeyError:
+            raise ValueError("the input changed between the passes over it") from None
+
+
+def numbered(rows: DataFrame, tokenizer_path: str, folder: str, length: int) -> list[tuple[int, str | None, int]]:
+    """First pass: (task, file of its token ends, sequences of its texts); the driver gets one row for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, known, task, n = encoder(tokenizer_path), token_bytes(tokenizer_path), TaskContext.get().partitionId(), 0
+        name = f"{folder}/cuts-{task:06d}-{uuid.uuid4().hex}.bin" if known else None
+        cuts = Cuts(name, known) if known else None
+        if cuts:
+            cuts.open_output()
+        for b in batches:
+            for t in b.column("text"):
+                ids = encode(t.as_py() or "")
+                n += len(ids) // length + 1
+                if cuts:
+                    cuts.put((t.as_py() or "").encode(), np.asarray(ids, np.int64))
+        if cuts:
+            cuts.close_output()
+        yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([name], pa.string()), pa.array([n], pa.int64())], names=["task", "file", "n"])
+
+    return sorted((r.task, r.file, r.n) for r in rows.mapInArrow(run, "task int, file string, n bigint").collect())
+
+
 def materialise(docs: DataFrame, tokenizer_path: str, folder: str, *, length: int = LENGTH, eot: int = EOT, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Writes the shards; a row for each sequence (doc_id, seq, n_ids, crc32, slot, shard, place) and the manifest."""
-    spark, keys = docs.sparkSession, round_keys(key)
+    spark, keys, kind = docs.sparkSession, round_keys(key), np.dtype(id_type(tokenizer_path))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = max(1, rows.rdd.getNumPartitions()) << SHARE_BITS
-    chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, min(100_000, ((1 << 64) - 1) // size, int(chars // shard_bytes)))
+    tasks = numbered(rows, tokenizer_path, folder, length)
+    total, stride = sum(n for *_, n in tasks), kind.itemsize * length
+    each = max(1, shard_bytes // stride, -(-total // MOST_SHARDS))
+    shards = max(1, -(-total // each))
+    first = np.cumsum([0, *(n for *_, n in tasks)]).tolist()
+    ranges = {task: (file, first[k], n) for k, (task, file, n) in enumerate(tasks)}
+    shipped = spark.sparkContext.broadcast(ranges)
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, first, n = encoder(tokenizer_path), TaskContext.get().partitionId() << SHARE_BITS, 0
+        encode, known = encoder(tokenizer_path), token_bytes(tokenizer_path)
+        file, number, share = shipped.value.get(TaskContext.get().partitionId(), (None, 0, 0))
+        last = number + share
+        cuts = Cuts(file, known) if file else None
+        if cuts:
+            cuts.open_input()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b, doc, seq, used, data = whole.slice(at, 500), [], [], [], []
                 for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                    ids = np.array([*encode(t.as_py() or ""), eot], "<u2")
+                    text = t.as_py() or ""
+                    ids = np.array([*(cuts.get(text.encode()) if cuts else encode(text)), eot], kind)
                     for k in range(0, len(ids), length):
                         part = ids[k : k + length]
                         doc.append(d)
                         seq.append(k // length)
                         used.append(len(part))
                         data.append(zlib.compress(part.tobytes(), 1))
-                if n + len(doc) > 1 << SHARE_BITS:
-                    raise ValueError("a task has more sequences than its share of the domain")
-                order = permuted(np.arange(first + n, first + n + len(doc)), size, keys)
-                n += len(doc)
-                shard = (order * np.uint64(shards) // np.uint64(size)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(order.astype(np.int64)), pa.array(doc, pa.int64()), pa.array(seq, pa.int64()), pa.array(used, pa.int64()), pa.array(data, pa.binary())], names=["shard", "number", "doc_id", "seq", "n_ids", "ids"])
+                if number + len(doc) > last:
+                    raise ValueError("the input changed between the passes over it")
+                slot = permuted(np.arange(number, number + len(doc)), total, keys).astype(np.int64)
+                number += len(doc)
+                yield pa.RecordBatch.from_arrays([pa.array((slot // each).astype(np.int32)), pa.array(slot), pa.array(doc, pa.int64()), pa.array(seq, pa.int64()), pa.array(used, pa.int64()), pa.array(data, pa.binary())], names=["shard", "slot", "doc_id", "seq", "n_ids", "ids"])
+        if number != last:
+            raise ValueError("the input changed between the passes over it")
 
-    dealt = rows.mapInArrow(sequences, "shard int, number bigint, doc_id bigint, seq bigint, n_ids bigint, ids binary")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "number")
-    stride = 2 * length
+    dealt = rows.mapInArrow(sequences, "shard int, slot bigint, doc_id bigint, seq bigint, n_ids bigint, ids binary")
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = filesystem(folder)
-        current, name, sink, place = None, "", None, 0
+        sink, name, expected, meta = None, "", 0, []
         for b in batches:
-            crc, at, names = [], [], []
-            shard = b.column("shard").to_pylist()
-            for k, packed in zip(shard, b.column("ids")):
-                if k != current:
-                    if sink is not None:
-                        sink.close()
-                    current, name, place = k, f"{folder}/shard-{k:06d}-{uuid.uuid4().hex}.bin", 0
-                    path = filesystem(name)[1]
-                    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                    sink = fs.open_output_stream(path)
+            shard, slots = b.column("shard").to_pylist(), b.column("slot").to_pylist()
+            if sink is None and slots:
+                name, expected = f"{folder}/shard-{shard[0]:06d}-{uuid.uuid4().hex}.bin", shard[0] * each
+                fs, path = filesystem(name)
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                sink = fs.open_output_stream(path, compression=None)
+            for slot, packed in zip(slots, b.column("ids")):
+                if slot != expected:
+                    raise ValueError(f"slot {slot} came where {expected} belongs")
                 data = zlib.decompress(packed.as_py())
-                sink.write(data + np.full((stride - len(data)) // 2, eot, "<u2").tobytes())
-                crc.append(zlib.crc32(data))
-                at.append(place)
-                names.append(name)
-                place += 1
-            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(names, pa.string()), pa.array(at, pa.int64()), b.column("doc_id"), b.column("seq"), b.column("n_ids"), pa.array(crc, pa.int64())], names=["shard", "file", "place", "doc_id", "seq", "n_ids", "crc32"])
-        if sink is not None:
-            sink.close()
-
-    placed = cut(dealt.mapInArrow(write, "shard int, file string, place bigint, doc_id bigint, seq bigint, n_ids bigint, crc32 bigint"))
-    counts = sorted((r.shard, r.file, r.n) for r in placed.groupBy("shard", "file").agg(F.count("*").alias("n")).collect())
-    manifest, total = [], 0
-    for shard, file, n in counts:
-        manifest.append((shard, file, total, n))
-        total += n
-    listed = spark.createDataFrame(manifest, "shard int, file string, first bigint, count bigint")
-    out = placed.join(F.broadcast(listed.select("shard", "first")), "shard")
-    return out.select("doc_id", "seq", "n_ids", "crc32", (F.col("first") + F.col("place")).alias("slot"), "shard", "place"), listed
-
-
-def read(manifest: list[tuple[int, str, int, int]], slot: int, count: int, length: int = LENGTH) -> Iterator[np.ndarray]:
+                sink.write(data + np.full((stride - len(data)) // kind.itemsize, eot, kind).tobytes())
+                expected += 1
+            meta.append(b.select(["shard", "slot", "doc_id", "seq", "n_ids"]))
+        if sink is None:
+            return
+        sink.close()
+        with fs.open_input_stream(path, compression=None) as f:
+            for b in meta:
+                crc = [zlib.crc32(f.read(stride)[: n * kind.itemsize]) for n in b.column("n_ids").to_pylist()]
+                place = pa.array(b.column("slot").to_numpy() % each)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([name] * len(crc), pa.string()), place, pa.array(crc, pa.int64())], names=[*b.schema.names, "file", "place", "crc32"])
+
+    placed = cut(dealt.mapInArrow(write, "shard int, slot bigint, doc_id bigint, seq bigint, n_ids bigint, file string, place bigint, crc32 bigint"))
+    manifest = placed.groupBy("shard", "file").agg(F.min("slot").alias("first"), F.count("*").alias("count"))
+    return placed.select("doc_id", "seq", "n_ids", "crc32", "slot", "shard", "place"), manifest
+
+
+def read(manifest: list[tuple[int, str, int, int]], slot: int, count: int, length: int = LENGTH, kind: str = "<u2") -> Iterator[np.ndarray]:
     """`count` sequences from `slot` on, as a training job resumes: one seek, then sequential reads."""
+    stride = np.dtype(kind).itemsize * length
     for _, file, first, n in sorted(manifest, key=lambda m: m[2]):
         if count and first <= slot < first + n:
             fs, path = filesystem(file)
             with fs.open_input_file(path) as f:
-                f.seek((slot - first) * 2 * length)
+                f.seek((slot - first) * stride)
                 while count and slot < first + n:
-                    yield np.frombuffer(f.read(2 * length), "<u2")
+                    yield np.frombuffer(f.read(stride), kind)
                     slot, count = slot + 1, count - 1
 
 

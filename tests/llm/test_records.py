@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from helpers import docs, prose
 from pyspark.sql import functions as F
 
@@ -138,6 +139,40 @@ def test_training_order(spark):
     assert O.materialise(df.limit(0), path, fresh_dir(spark, "order"))[0].count() == 0
 
 
+def test_slots_are_the_feistel_image_of_dense_numbers(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = docs(spark, {k: prose(k, 300) for k in range(30)})
+    tasks = O.numbered(df.select("doc_id", "text"), path, fresh_dir(spark, "order"), 64)
+    total = sum(n for *_, n in tasks)
+    rows, manifest = O.materialise(df, path, fresh_dir(spark, "order"), length=64, shard_bytes=2_560)
+    rows, listed = rows.collect(), sorted(manifest.collect(), key=lambda m: m[2])
+    back = O.restored(np.array([r.slot for r in rows]), total, O.round_keys(O.KEY))
+    assert sorted(back.tolist()) == list(range(total))
+    by = {(r.doc_id, r.seq): int(n) for r, n in zip(rows, back)}
+    assert all(by[d, s] + 1 == by[d, s + 1] for d, s in by if (d, s + 1) in by)  # numbers follow the texts
+    assert [m[2] for m in listed] == list(range(0, total, 20)) and [m[3] for m in listed[:-1]] == [20] * (len(listed) - 1)
+
+
+def test_token_ends_give_the_ids_back(spark, tmp_path):
+    from stallwright.llm.tokenizer import encoder, id_type, token_bytes
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", "a", "é ü\n\n x", "<|endoftext|> z", "\u6f22\u5b57 " * 9, prose(3, 500), "  \t "]
+    out = O.Cuts(f"file://{tmp_path}/c", token_bytes(path))
+    out.open_output()
+    for t in texts:
+        out.put(t.encode(), np.asarray(encoder(path)(t), np.int64))
+    out.close_output()
+    again = O.Cuts(f"file://{tmp_path}/c", token_bytes(path))
+    again.open_input()
+    assert [again.get(t.encode()) for t in texts] == [list(encoder(path)(t)) for t in texts]
+    assert id_type(path) == "<u2"
+    again.open_input()
+    with pytest.raises(ValueError, match="changed"):
+        for t in texts:
+            again.get((t + "zq").encode())
+
+
 def test_chat_loss_is_cut_out_by_the_spans(spark):
     rows = [(1, 0, "user", "h\U0001f600i"), (1, 1, "assistant", "a</s>~1\U0001f600"), (1, 2, "assistant", "[INST] b"), (2, 0, "user", "none")]
     chats = C.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
