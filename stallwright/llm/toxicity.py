@@ -1,15 +1,17 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the distinct words of the whole text and their prefixes of 4, 5 and 6 characters (inflected forms of a
-stem then share weights), hashed to 2^20 ids. The terms most associated with the label on the training sample
-(chi-square) get a linear weight and a factor vector; the score is the logistic of
-``b + sum w_i + 1/2 (|sum v_i|^2 - sum |v_i|^2)``, whose second part learns pairs of terms that are toxic only
-together. Trained by AdaGrad on a bounded sample (`max_rows`, of which the labels outside the held-out fold are
-used); labels, lang, source and doc_id are never inputs.
+stem then share weights), hashed to 2^20 ids. A linear weight and a factor vector go to the terms most associated with
+the label on the training sample (chi-square), and to words that matter only together: pairs of words within `NEAR`
+words of each other whose documents have another share of the label than those of either word alone. The score is the
+logistic of ``b + sum w_i + 1/2 (|sum v_i|^2 - sum |v_i|^2)``, whose second part learns pairs of terms that are toxic
+only together, or harmless only together. Trained by AdaGrad on a bounded sample (about `max_rows` rows and
+`max_bytes` bytes of text outside the held-out fold); labels, lang, source and doc_id are never inputs.
 
 Cases: null and empty texts have no terms and get the bias alone; without labelled rows every score is 0.5, with
-labels of one class only the smoothed rate of that class; repeated documents score alike; null ids count as not
-held out; extra columns are ignored; an empty table gives an empty result.
+labels of one class only the smoothed rate of that class; very long texts count each distinct term once, whatever
+their length; repeated documents score alike; null ids count as not held out; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,18 +31,21 @@ from .learning import fold, training_sample
 
 BITS, PREFIXES = 20, (4, 5, 6)
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
-MAX_ROWS, TERMS, FACTORS, EPOCHS, SEED = 12_000, 4096, 4, 20, 7
+MAX_ROWS, MAX_BYTES, TERMS, FACTORS, EPOCHS, SEED = 12_000, 64 << 20, 4096, 4, 20, 7
+#: Pairs of words at most this far apart are looked at; those that stand out by `STANDS_OUT` deviations are taken, `PAIRS` at most.
+NEAR, STANDS_OUT, PAIRS, LEAST = 5, 4.5, 512, 5
+BUCKETS = 24
 CACHE = 80_000
 
 
 class TermIds(dict):
-    """Hashed ids of a word and its prefixes; starts anew when it holds many words."""
+    """Hashed ids of a word, first, and of its prefixes; starts anew when it holds many words."""
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > CACHE:
             self.clear()
         text = word.decode()
-        forms = {b"w" + word} | {b"p" + text[:n].encode() for n in PREFIXES if len(text) >= n}
+        forms = [b"w" + word, *(b"p" + text[:n].encode() for n in PREFIXES if len(text) >= n)]
         self[word] = found = tuple(zlib.crc32(f) >> (32 - BITS) for f in forms)
         return found
 
@@ -54,6 +59,56 @@ def terms(text: str | None) -> np.ndarray:
     return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
+def word_ids(text: str | None) -> np.ndarray:
+    """Ids of the words of a text, in their order."""
+    w = words(text)
+    return np.fromiter((_ids[x][0] for x in w), np.int32, len(w))
+
+
+def near_pairs(ids: np.ndarray) -> np.ndarray:
+    """Pairs of different words at most `NEAR` apart, as one number each; a pair comes as often as it occurs."""
+    ids = ids.astype(np.int64)
+    both = [(ids[:-k], ids[k:]) for k in range(1, min(NEAR, len(ids) - 1) + 1)]
+    if not both:
+        return np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*both))
+    return (np.minimum(a, b) << BITS | np.maximum(a, b))[a != b]
+
+
+def paired_terms(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Word ids of the pairs whose documents have another share of the label than those of either word alone.
+
+    Pairs are first counted in hashed buckets; those of buckets that stand out at all are then counted each.
+    """
+    n, size, base = len(y), 1 << BITS, float(np.mean(y))
+    kinds = [np.unique(t) for t in texts]
+    df = np.bincount(np.concatenate(kinds), minlength=size)
+    with_pos = np.bincount(np.concatenate([k for k, t in zip(kinds, y) if t]), minlength=size)
+    rate = np.clip(with_pos / np.maximum(df, 1), 0.5 / n, 1 - 0.5 / n)
+    texts = [t[df[t] >= LEAST] for t in texts]
+    bucket = lambda pairs: (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+    seen, pos = np.zeros(1 << BUCKETS, np.uint16), np.zeros(1 << BUCKETS, np.uint16)
+    for t, label in zip(texts, y):
+        at = np.unique(bucket(near_pairs(t)))
+        seen[at] += 1
+        if label:
+            pos[at] += 1
+    off = np.abs(pos - seen * np.float32(base)) >= 2.5 * np.sqrt(seen * np.float32(base * (1 - base)))
+    off &= seen >= LEAST
+    found = [np.unique((p := near_pairs(t))[off[bucket(p)]]) for t in texts]
+    pairs, of = np.unique(np.concatenate(found), return_inverse=True)
+    labels = np.repeat(y, [len(f) for f in found])
+    count, hits = np.bincount(of, minlength=len(pairs)), np.bincount(of, labels, minlength=len(pairs))
+    apart = np.full(len(pairs), np.inf)
+    for word in (pairs >> BITS, pairs & (size - 1)):
+        r = rate[word]
+        apart = np.minimum(apart, np.abs(hits - count * r) / np.sqrt(count * r * (1 - r)))
+    apart[count < LEAST] = 0
+    best = np.lexsort((pairs, -apart))[:PAIRS]
+    best = pairs[best[apart[best] >= STANDS_OUT]]
+    return np.unique(np.concatenate([best >> BITS, best & (size - 1)]))
+
+
 @dataclass
 class Machine:
     """slot[id] is a term's row in w and v, or the last row, of zeros."""
@@ -71,8 +126,8 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(bags: list[np.ndarray], y: np.ndarray, n_terms: int = TERMS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED) -> Machine:
-    """The machine for documents given as sorted distinct term ids."""
+def fit(bags: list[np.ndarray], texts: list[np.ndarray], y: np.ndarray, n_terms: int = TERMS, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED) -> Machine:
+    """The machine for documents given as sorted distinct term ids and as word ids in their order."""
     size, n, pos = 1 << BITS, len(y), float(np.sum(y))
     blank = Machine(np.full(size, 0, np.int32), 0.0, np.zeros(1), np.zeros((1, factors)))
     if n == 0 or pos in (0, n):
@@ -83,7 +138,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, n_terms: int = TERMS, factors: in
     expected = df * pos / n
     chi = np.where(df >= 3, (with_pos - expected) ** 2 / np.maximum(expected, 1e-9) / np.maximum(1 - df / n, 1e-9), 0)
     chosen = np.lexsort((np.arange(size), -chi))[:n_terms]
-    chosen = np.sort(chosen[chi[chosen] > 3.84])
+    chosen = np.union1d(chosen[chi[chosen] > 3.84], paired_terms(texts, y))
     k = len(chosen)
     slot = np.full(size, k, np.int32)
     slot[chosen] = np.arange(k)
@@ -120,17 +175,19 @@ def fit(bags: list[np.ndarray], y: np.ndarray, n_terms: int = TERMS, factors: in
     return Machine(slot, bias, w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = SEED) -> Machine:
-    """Fits on the driver; what it collects is bounded by `max_rows`."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, seed: int = SEED) -> Machine:
+    """Fits on the driver; what it collects is bounded by `max_rows` and `max_bytes`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bags = [terms(t.as_py()).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bags, pa.binary()), b.column("y")], names=["doc_id", "bag", "y"])
+            texts = [word_ids(t.as_py()).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bags, pa.binary()), pa.array(texts, pa.binary()), b.column("y")], names=["doc_id", "bag", "words", "y"])
 
-    sample = training_sample(docs, labels, "toxic", FOLDS, HELD_OUT, max_rows, seed)
-    rows = sorted(sample.mapInArrow(run, "doc_id bigint, bag binary, y int").toLocalIterator(), key=lambda r: (r.doc_id, bytes(r.bag)))
-    return fit([np.frombuffer(bytes(r.bag), np.int32) for r in rows], np.array([r.y for r in rows], float))
+    sample = training_sample(docs, labels, "toxic", FOLDS, HELD_OUT, max_rows, max_bytes, seed)
+    rows = sample.mapInArrow(run, "doc_id bigint, bag binary, words binary, y int").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    bags, texts = ([np.frombuffer(x.as_py(), np.int32) for x in rows.column(c)] for c in ("bag", "words"))
+    return fit(bags, texts, rows.column("y").to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -8,17 +8,44 @@ from stallwright.llm import quality_mil as Q
 from stallwright.llm import toxicity as T
 
 
-def test_machine_learns_a_pair_that_single_words_do_not_show():
+def fitted(texts, y, **options):
+    return T.fit([T.terms(t) for t in texts], [T.word_ids(t) for t in texts], np.array(y), **options)
+
+
+def test_machine_learns_what_only_pairs_show():
+    """Exactly one of two words is toxic: neither word alone says anything, and no linear weights fit."""
     r, texts, y = random.Random(5), [], []
+    for k in range(1600):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        texts.append(prose(k, 12) + " insult" * a + " group" * b)
+        y.append(float(a != b))
+    right = {}
+    for factors in (T.FACTORS, 0):
+        m = fitted(texts[:1200], y[:1200], factors=factors, epochs=40)
+        right[factors] = np.mean([(m.score(T.terms(t)) >= 0.5) == bool(label) for t, label in zip(texts[1200:], y[1200:])])
+        if factors:
+            scores = [m.score(T.terms(f"w1 w2 {x}")) for x in ("insult group", "insult", "group", "none")]
+            assert max(scores[0], scores[3]) < 0.3 and min(scores[1:3]) > 0.7
+    assert right[T.FACTORS] > 0.98 and right[0] < 0.65
+
+
+def test_machine_learns_a_conjunction():
+    r, texts, y = random.Random(6), [], []
     for k in range(1200):
         a, b = r.random() < 0.5, r.random() < 0.5
         texts.append(prose(k, 12) + " insult" * a + " group" * b)
         y.append(float(a and b))
-    m = T.fit([T.terms(t) for t in texts], np.array(y), epochs=30)
+    m = fitted(texts, y, epochs=30)
     both, one, other = (m.score(T.terms(f"w1 w2 {x}")) for x in ("insult group", "insult", "group"))
     assert both > 0.7 > 0.4 > max(one, other)
-    flat = T.Machine(m.slot, m.bias, m.w, np.zeros_like(m.v))
-    assert m.score(T.terms("insult group")) != flat.score(T.terms("insult group"))
+
+
+def test_score_equals_the_sum_over_all_pairs():
+    m = fitted([prose(k, 30) + " vile" * (k % 2) for k in range(200)], [float(k % 2) for k in range(200)])
+    ids = T.terms("vile w1 w2 vilest")
+    rows = m.slot[ids]
+    z = m.bias + sum(m.w[i] for i in rows) + sum(m.v[i] @ m.v[j] for k, i in enumerate(rows) for j in rows[k + 1 :])
+    assert abs(m.score(ids) - 1 / (1 + np.exp(-z))) < 1e-9
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -33,6 +60,8 @@ def test_toxicity_on_held_out_rows(spark):
     kept = T.clean(df, m)
     assert kept.columns == df.columns and {900, 901} <= {r.doc_id for r in kept.collect()}
     assert T.scored(df.limit(0), m).count() == 0
+    long = docs(spark, {1: texts[4] + " x" * 300_000, 2: texts[4] + " x", 3: texts[4] + " x"})
+    assert len({r.score for r in T.scored(long.unionByName(long), m).collect()}) == 1
     assert {r.score for r in T.scored(df, T.train(df, labels.limit(0))).collect()} == {0.5}
     assert max(r.score for r in T.scored(df, T.train(df, labels.where("toxic = 0"))).collect()) < 0.05
 

@@ -21,7 +21,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     train = [k for k in range(600) if zlib.crc32(str(k).encode()) % 3 != 1]
     import numpy as np
 
-    m = toxicity.fit([toxicity.terms(texts[k]) for k in train], np.array([float(k % 4 == 0) for k in train]))
+    m = toxicity.fit([toxicity.terms(texts[k]) for k in train], [toxicity.word_ids(texts[k]) for k in train], np.array([float(k % 4 == 0) for k in train]))
     left = {k: t for k, t in texts.items() if m.score(toxicity.terms(t)) < toxicity.CUT}
     assert not any(k < 600 and k % 4 == 0 for k in left) and len(left) >= 450
     kept = set(near_dedup.brute_force(left).values())
