@@ -75,7 +75,66 @@ def test_quality_attends_to_the_bad_passage(spark):
     got = {r.doc_id: r.score for r in Q.scored(df, net).collect()}
     held = [k for k in range(500) if zlib.crc32(str(k).encode()) % 5 == 0]
     assert np.mean([(got[k] >= 0.3) == (k % 5 != 1) for k in held]) > 0.97
-    rows = Q.passages(texts[1])
-    assert net.attention(rows).argmax() in (4, 5)
+    assert net.attention(texts[1]).argmax() in (4, 5)
+    again = Q.scored(df.unionByName(df), net).groupBy("doc_id").agg({"score": "min", "*": "count"}).collect()
+    assert all(r["min(score)"] == got[r.doc_id] and r["count(1)"] == 2 for r in again)
+    assert Q.scored(df.limit(0), net).count() == 0
     assert got[900] == got[901] and 0 <= got[902] <= 1
     assert {r.score for r in Q.scored(df, Q.train(df, labels.limit(0))).collect()} == {0.5}
+
+
+def test_quality_learns_words():
+    """Good and bad texts look alike, they differ in the words of one passage only."""
+    r = random.Random(8)
+    texts, y = [], []
+    for k in range(400):
+        good = k % 2
+        mid = " ".join(r.choice(["oak", "elm", "ash"] if good else ["tin", "mud", "rag"]) for _ in range(30))
+        texts.append(prose(k, 96) + " " + mid + " " + prose(k + 7000, 66))
+        y.append(float(good))
+    bags, words = [Q.passages(t) for t in texts], [Q.word_ids(t) for t in texts]
+    net = Q.fit(bags[:300], words[:300], np.array(y[:300]), epochs=25)
+    right = np.mean([(net.score(t) >= 0.5) == bool(label) for t, label in zip(texts[300:], y[300:])])
+    assert right > 0.95 and net.attention(texts[0]).argmax() == 2
+
+
+def test_quality_gradients_equal_differences():
+    texts, y = [prose(k, 20 + 60 * k) for k in range(4)], np.array([1.0, 0, 1, 0])
+    bags, words = [Q.passages(t) for t in texts], [Q.word_ids(t) for t in texts]
+    net = Q.fit(bags, words, y, epochs=1)
+    net.p = {k: a.astype(float) for k, a in net.p.items()}
+    sizes = np.array([len(b) for b in bags])
+    starts, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(4), sizes)
+    place = np.concatenate([np.arange(len(w)) // Q.PASSAGE + s for w, s in zip(words, starts)])
+    ids, x = np.concatenate(words), np.clip((np.concatenate(bags) - net.mean) / net.std, -8, 8)
+    rest = (x, starts, of, ids, place, np.maximum(1, np.bincount(place, minlength=len(of))))
+    loss = lambda: -np.mean(np.log(np.where(y == 1, out := net.forward(*rest)["y"], 1 - out)))
+    for name, g in Q.gradients(net, y, *rest).items():
+        at = (ids[0], 3) if name == "E" else tuple(0 for _ in np.shape(g))
+        kept = np.array(net.p[name])
+        up, down = kept.copy(), kept.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        net.p[name] = up
+        high = loss()
+        net.p[name] = down
+        low = loss()
+        net.p[name] = kept
+        assert abs((high - low) / 2e-5 - g[at]) < 1e-6, name
+
+
+def test_queries(spark, tmp_path):
+    texts = {k: prose(k, 60) + (" vilestem" if k % 4 == 0 else "") + (" ***" * 20 if k % 5 == 1 else "") for k in range(400)} | {900: None, 901: ""}
+    docs(spark, texts, {"y": 1}).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k % 5 != 1), int(k % 4 == 0)) for k in range(400)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    from stallwright.llm.queries import QUERIES
+
+    for name, folds, out, cut, want in (("op4_toxicity", 3, 1, 0.7, lambda k: k % 4 == 0), ("op8_quality", 5, 0, 0.3, lambda k: k % 5 != 1)):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert df.columns == ["doc_id", "held_out", "score", "predicted"]
+        rows = {r.doc_id: r for r in df.collect()}
+        assert rows.keys() == texts.keys()
+        for k, r in rows.items():
+            assert r.held_out == (zlib.crc32(str(k).encode()) % folds == out) and 0 <= r.score <= 1 and r.predicted == int(r.score >= cut)
+        held = [k for k in range(400) if rows[k].held_out]
+        assert np.mean([rows[k].predicted == want(k) for k in held]) > 0.95
