@@ -1,15 +1,17 @@
 """Audio features of a media column: polyphase resampling, log-mel frames and hysteresis energy segments.
 
 A payload is a positive multiple of `BLOCK` bytes, stored losslessly as a WAV file of unsigned 8-bit mono samples at
-12 kHz. Features come from the stored bytes: the samples are resampled 2:3 to 8 kHz by a polyphase windowed-sinc
-filter, cut into frames of 256 with a hop of 128, and turned into 24 log-mel bands. A segment starts where the frame
-energy reaches the upper threshold and ends where it falls below the lower one (both relative to a noise floor).
-Every segment is one fixed-shape tensor (`SHAPE`: time bins by bands) with its time span, kept as an Arrow stream
-with the extension type fixed_shape_tensor.
-
-Samples are processed in blocks of `FRAMES` frames, so memory doesn't grow with a text, and equal texts take the same
-steps and give equal values. Cases: null and empty texts are one block of blanks, without segments; repeated rows get
-equal values; an empty table gives an empty result; extra columns are ignored.
+12 kHz in a media column of a Parquet table. Features come from the stored bytes, read back from there: the samples are
+resampled 2:3 to 8 kHz by a polyphase windowed-sinc filter, cut into frames of 256 with a hop of 128, and turned into
+24 log-mel bands. A segment starts where the frame energy reaches the upper threshold and ends where it falls below
+the lower one (both relative to a noise floor). Every segment is one fixed-shape tensor (`SHAPE`: time bins by bands)
+with its time span, kept as an Arrow stream with the extension type fixed_shape_tensor; the feature digests the spans
+and tensors as they come out of that stream.
+
+Samples are processed in blocks of `FRAMES` frames, so work space doesn't grow with a text, and equal texts take the
+same steps and give equal values. Cases: null and empty texts are one block of blanks, without segments; very long
+texts are long payloads, whole; repeated rows get equal values; an empty table gives an empty result; extra columns
+are ignored, also those named like a result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import fresh_dir, table, utf8
 
 BLOCK, FILL = 192, b" "
 RATE, UP, DOWN = 12_000, 2, 3
@@ -135,36 +137,68 @@ def to_arrow(spans: list[tuple[int, int]], values: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def audio_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_media: bool = False) -> DataFrame:
-    """Columns `keep`, the contract's figures of the payload read back, segments, and their tensors as an Arrow stream.
+def from_arrow(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start_ms, end_ms) rows and tensors of `to_arrow`."""
+    found = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    spans = np.stack([found.column(c).to_numpy() for c in ("start_ms", "end_ms")], 1) if found.num_rows else np.zeros((0, 2), np.int64)
+    flat = [c.storage.flatten().to_numpy() for c in found.column("log_mel").chunks]
+    return spans, np.concatenate(flat or [np.zeros(0, np.float32)]).reshape(-1, *SHAPE)
 
-    with_media adds the stored WAV bytes.
-    """
-    out = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").cast("string").alias("_text"))
-    schema = out.drop("_text").schema
-    for name, kind in [("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("n_segments", "long"), ("tensors", "binary")] + [("media", "binary")] * with_media:
-        schema = schema.add(name, kind)
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()] + [pa.binary()] * with_media
 
-    def row(value: str | None) -> tuple:
-        n, payload = payload_of(value)
-        media = to_wav(payload)
-        back = from_wav(media)
-        mel = log_mel(back)
-        spans = segments(mel)
-        values = tensors(mel, spans)
-        digest = hashlib.sha256(np.round(values * 10).astype("<i2").tobytes() + np.asarray(spans, "<i8").tobytes() + np.round(mel.astype(float).mean(0)).astype("<i2").tobytes())
-        return (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(mel)}:{len(spans)}:{digest.hexdigest()[:32]}", len(spans), to_arrow(spans, values), *[media] * with_media)
+def feature_of(stream: bytes) -> str:
+    """Number of segments, their milliseconds and a digest of spans and tensors, from the stored stream."""
+    spans, values = from_arrow(stream)
+    digest = hashlib.sha256(spans.astype("<i8").tobytes() + np.round(values.astype(float) * 10).astype("<i4").tobytes())
+    return f"{len(spans)}:{int((spans[:, 1] - spans[:, 0]).sum())}:{digest.hexdigest()[:32]}"
+
+
+def _mapped(df: DataFrame, gone: str, fields: list[tuple[str, str, pa.DataType]], row) -> DataFrame:
+    """`df` with the column `gone` replaced by the fields that `row` makes of its values."""
+    schema = df.drop(gone).schema
+    for name, kind, _ in fields:
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1_000):
                 b = whole.slice(at, 1_000)
-                rows = [row(t.as_py()) for t in b.column("_text")]
-                yield pa.RecordBatch.from_arrays([*(c for c, n in zip(b.columns, b.schema.names) if n != "_text"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=schema.names)
+                rows = [row(t.as_py()) for t in b.column(gone)]
+                yield pa.RecordBatch.from_arrays([*(c for c, n in zip(b.columns, b.schema.names) if n != gone), *(pa.array(c, t) for c, (*_, t) in zip(zip(*rows), fields))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def stored(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Columns `keep`, n_bytes and the payload's WAV file as `media`, written to the shared folder and read from there."""
 
-    return out.mapInArrow(run, schema)
+    def row(value: str | None) -> tuple[int, bytes]:
+        n, payload = payload_of(value)
+        return n, to_wav(payload)
+
+    out = docs.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").cast("string").alias("_text"))
+    path = fresh_dir(docs.sparkSession, "media")
+    _mapped(out, "_text", [("n_bytes", "long", pa.int64()), ("media", "binary", pa.binary())], row).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def features(media: DataFrame, with_media: bool = False) -> DataFrame:
+    """The contract's figures of the payload in `media`, its segments, their tensors as an Arrow stream, and the feature."""
+
+    def row(wav: bytes) -> tuple:
+        back = from_wav(wav)
+        mel = log_mel(back)
+        spans = segments(mel)
+        stream = to_arrow(spans, tensors(mel, spans))
+        return (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), feature_of(stream), len(spans), stream, *[wav] * with_media)
+
+    fields = [("payload_bytes", "long", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "long", pa.int64()), ("media_bytes", "long", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string()), ("n_segments", "long", pa.int64()), ("tensors", "binary", pa.binary())]
+    return _mapped(media, "media", fields + [("media", "binary", pa.binary())] * with_media, row)
+
+
+def audio_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", with_media: bool = False) -> DataFrame:
+    """Stores every text as a WAV file and computes the features of what is read back."""
+    return features(stored(docs, keep, text), with_media)
 
 
 def op3_audio(spark, sf_dir: str) -> DataFrame:
-    return audio_features(table(spark, sf_dir, "documents")).drop("tensors")
+    return audio_features(table(spark, sf_dir, "documents"))

@@ -81,12 +81,42 @@ def test_audio(spark):
         r = rows[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))
         assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
+        assert r.feature == A.feature_of(bytes(r.tensors)) and r.feature.startswith(f"{r.n_segments}:")
         batch = pa.ipc.open_stream(bytes(r.tensors)).read_all()
         assert batch.num_rows == r.n_segments and batch.schema.field("log_mel").type.shape == list(A.SHAPE)
     assert rows[1].feature == rows[4].feature and rows[2].feature == rows[3].feature
     assert A.audio_features(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_log_mel_equals_a_direct_computation():
+    """Resampling by the filter's sum over all taps, the transform by its definition, bands by their triangles."""
+    x = np.random.default_rng(3).integers(0, 256, 192 * 3).astype(np.uint8)
+    samples = np.pad(x.astype(np.float32) / 128 - 1, (A.TAPS, 600))
+    h = np.sinc((np.arange(A.TAPS * A.UP) - (A.TAPS * A.UP - 1) / 2) / A.DOWN) / A.DOWN * np.hamming(A.TAPS * A.UP) * A.UP
+    whole = A.resampled(samples)
+    for m in range(400):  # zeros between the samples, the filter over all of it, every DOWN-th value
+        want = sum(h[k] * samples[(m * A.DOWN - k) // A.UP + A.TAPS - 1] for k in range(len(h)) if (m * A.DOWN - k) % A.UP == 0)
+        assert abs(whole[m] - want) < 1e-4
+    got = whole[(A.TAPS // A.DOWN) * A.UP :]
+    part = got[: A.FRAME].astype(float)
+    part = (part - part.mean()) * np.hanning(A.FRAME + 1)[:-1]
+    n = np.arange(A.FRAME)
+    power = [abs(np.sum(part * np.exp(-2j * np.pi * f * n / A.FRAME))) ** 2 for f in range(A.FRAME // 2 + 1)]
+    edges = 700 * (10 ** (np.linspace(2595 * np.log10(1 + 60 / 700), 2595 * np.log10(1 + 4000 / 700), A.BANDS + 2) / 2595) - 1)
+    want = []
+    for lo, mid, hi in zip(edges, edges[1:], edges[2:]):
+        want.append(sum(p * max(0, min((f * 8000 / A.FRAME - lo) / (mid - lo), (hi - f * 8000 / A.FRAME) / (hi - mid))) for f, p in enumerate(power)))
+    assert np.allclose(A.log_mel(x.tobytes())[0], 10 * np.log10(np.array(want) + 1e-6), atol=0.05)
+
+
+def test_media_table_is_what_the_features_read(spark):
+    media = A.stored(docs(spark, {1: prose(1, 50)}, {"media": 5, "n_bytes": 7}))
+    assert media.columns == ["doc_id", "n_bytes", "media"]
+    other = media.withColumn("media", F.lit(A.to_wav(b"q" * 192)))
+    row = A.features(other).first()
+    assert row.payload_sha256 == hashlib.sha256(b"q" * 192).hexdigest() and row.feature != A.features(media).first().feature
+
+
 CONTROL = ["</s>", "<s>", "[INST]", "[/INST]", "~0", "~1", "~", "<", "[", "\\", "<</SYS>>", "\n", "a", "é"]
 
 
