@@ -1,15 +1,17 @@
 """Personal data with offset-preserving deobfuscation.
 
-The base pass finds e-mail addresses, IPv4 addresses, card numbers and phone numbers as they stand. A second pass
-runs transducers over the text: homoglyphs and digits of other scripts become ASCII, invisible characters go, runs
-of spelled digits become digits, and at/dot disguises become @ and '.'. Each normalised character keeps the range
-of source characters it came from, so what is found in the normalised text maps back to exact source offsets.
-Spans of the second pass are added if they use a rewritten character or span a removed one, and lie in no base span of
-their kind; one that reaches beyond a base span is added beside it.
-
-Offsets are code points, the end exclusive. Cases: null and empty texts have no spans; repeated rows each get
-their own result; an empty table gives an empty one; extra columns are ignored; patterns are linear in the length
-of a text.
+The base pass finds e-mail addresses, IPv4 addresses, card numbers and phone numbers as they stand. A second pass runs
+the text through a cascade of transducers. Each is a regular pattern with an output: it reads left to right, writes the
+output for every leftmost match, copies all else, and composes its offsets with those of the ones before it, so each
+written character keeps the range of source characters it came from. In order: characters (compatibility forms by
+NFKC, homoglyphs, digits of other scripts, dashes; invisible ones go), bracketed at and dot, worded at and dot inside
+addresses, spelled digits, dots between digits, plus before a number. What is found in the written text maps back to exact
+source offsets. Spans of the second pass are added if they use a rewritten character or span a removed one, and lie
+in no base span of their kind; one that reaches beyond a base span is added beside it.
+
+Offsets are code points, the end exclusive. Cases: null and empty texts have no spans; very long texts are read whole,
+patterns are linear in their length; repeated rows each get their own result; an empty table gives an empty one; extra
+columns are ignored, those of `keep` come through, but for names of results.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import bisect
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,24 +54,28 @@ _DOT = re.compile(r"(?i)[ \t]{0,2}[\[({<][ \t]{0,2}(?:dot|\.)[ \t]{0,2}[\])}>][
 _JOINT = re.compile(r"(?i)@| at (?!(?:the|an?|this|that) )")
 _WORDED_DOMAIN = re.compile(r"(?i)[A-Za-z0-9-]++(?:(?: dot |\.)[A-Za-z0-9-]++)++")
 _HOST = re.compile(r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+_PLUS = re.compile(r"(?i)(?<![A-Za-z])plus[ -]{1,2}(?=[0-9])")
 _DIGIT_DOT = re.compile(r"(?i)(?<=[0-9]) dot (?=[0-9])")
-_ODD = "".join(HOMOGLYPHS) + INVISIBLE + "！-～"
-#: Decimal digits of all other scripts; each script has ten in a row.
-_DIGITS = "".join(f"{chr(c)}-{chr(c + 9)}" for c in range(0x80, 0x20000) if unicodedata.decimal(chr(c), None) == 0)
-_ODD_CHAR = re.compile(rf"[{_ODD}{_DIGITS}]")
-#: A text without any of these or an odd character can't change.
-TRIGGER = re.compile(rf"(?i)[\[({{<][ \t]{{0,2}}(?:at|dot|@|\.)[ \t]{{0,2}}[\])}}>]| dot | at [A-Za-z0-9-]++\.[A-Za-z0-9]|(?:{_WORD})[ ,-]{{1,2}}(?:{_WORD}|[0-9])")
+#: Dashes and full stops of other scripts (fixed values).
+MARKS = dict(zip("‐‑‒–—−。", "------."))
+
 
+def _characters() -> dict[str, str]:
+    """What each odd character is read as: ASCII compatibility forms, then the listed ones, then decimal digits."""
+    found = {}
+    for c in map(chr, range(0x80, 0x20000)):
+        plain = unicodedata.normalize("NFKC", c)
+        if plain != c and plain.isascii() and plain.isprintable():
+            found[c] = plain
+        elif (digit := unicodedata.decimal(c, None)) is not None:
+            found[c] = str(digit)
+    return found | HOMOGLYPHS | MARKS | dict.fromkeys(INVISIBLE, "")
 
-def _ascii(c: str) -> str:
-    if c in HOMOGLYPHS:
-        return HOMOGLYPHS[c]
-    if c in INVISIBLE:
-        return ""
-    if 0xFF01 <= ord(c) <= 0xFF5E:
-        return chr(ord(c) - 0xFEE0)
-    digit = unicodedata.digit(c, None)
-    return c if digit is None else str(digit)
+
+CHARACTERS = _characters()
+_ODD_CHAR = re.compile("[" + "".join(map(re.escape, CHARACTERS)) + "]")
+#: A text without any of these or an odd character can't change.
+TRIGGER = re.compile(rf"(?i)[\[({{<][ \t]{{0,2}}(?:at|dot|@|\.)[ \t]{{0,2}}[\])}}>]| dot | at [A-Za-z0-9-]++\.[A-Za-z0-9]|(?:{_WORD})[ ,-]{{1,2}}(?:{_WORD}|[0-9])|plus[ -]{{1,2}}[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -156,20 +162,37 @@ def _worded(text: str) -> list[tuple[int, int, str]]:
     return sorted(edits)
 
 
-def deobfuscated(text: str) -> Tape:
-    tape = Tape(text)
-    tape.rewrite([(m.start(), m.end(), _ascii(m[0])) for m in _ODD_CHAR.finditer(tape.text)])
-    tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
-    tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
-    tape.rewrite(_worded(tape.text))
+def _digits(text: str) -> list[tuple[int, int, str]]:
+    """Edits for runs of spelled digits: each becomes its digit, the separators inside a run go."""
     edits = []
-    for m in _SPELLED_DIGITS.finditer(tape.text):
+    for m in _SPELLED_DIGITS.finditer(text):
         for x in _SEPARATED.finditer(m[0]):
             a, b = m.start() + x.start(), m.start() + x.end()
             edits.append((a, b if b < m.end() else m.start() + x.end(1), SPELLED.get(x[1].lower(), x[1])))
-    tape.rewrite(edits)
-    tape.rewrite([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(tape.text)])
-    tape.rewrite([(m.start(), m.end(), "+") for m in re.finditer(r"(?i)(?<![A-Za-z])plus[ -]{1,2}(?=[0-9])", tape.text)])
+    return edits
+
+
+def transducer(pattern: re.Pattern, output: Callable[[str], str]) -> Callable[[str], list[tuple[int, int, str]]]:
+    """Edits (start, end, output) for the leftmost matches of the pattern, in order."""
+    return lambda text: [(m.start(), m.end(), output(m[0])) for m in pattern.finditer(text)]
+
+
+#: The transducers, each over what the one before it wrote.
+CASCADE = (
+    transducer(_ODD_CHAR, CHARACTERS.__getitem__),
+    transducer(_AT, lambda _: "@"),
+    transducer(_DOT, lambda _: "."),
+    _worded,
+    _digits,
+    transducer(_DIGIT_DOT, lambda _: "."),
+    transducer(_PLUS, lambda _: "+"),
+)
+
+
+def deobfuscated(text: str) -> Tape:
+    tape = Tape(text)
+    for edits in CASCADE:
+        tape.rewrite(edits(tape.text))
     return tape
 
 

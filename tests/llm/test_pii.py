@@ -66,3 +66,46 @@ def test_worded_forms_and_digits_of_all_scripts():
 
 def test_worded_forms_take_linear_time():
     P.spans("a dot " * 40_000 + "b at c " * 40_000 + "a@b dot c " * 20_000)
+
+
+def test_compatibility_forms_and_plus():
+    bold = lambda t: "".join(chr(0x1D41A + ord(c) - 97) if c.isalpha() else c for c in t)
+    for t, kind in ((bold("bob") + "@" + bold("example") + ".com", "email"), ("bob\uff20example\u2024com", "email"), ("4111\u20131111\u20131111\u20131111", "card"), ("4111\u00a01111\u00a01111\u00a01111", "card"), ("plus 1 555 123 4567", "phone")):
+        assert found(f"so {t} then") == [(kind, t)], t
+        assert P.masked(f"so {t} then") == f"so <{kind.upper()}> then"
+    for c, plain in P.CHARACTERS.items():
+        assert plain.isascii() and not c.isascii()
+
+
+def test_added_spans_equal_a_brute_force_over_characters():
+    """Texts whose only disguise is characters: read one by one into plain text, searched there and mapped back."""
+    r = random.Random(11)
+    odd = sorted(c for c, plain in P.CHARACTERS.items() if len(plain) < 3)
+    for _ in range(1500):
+        t = "".join(r.choice([*"ab1290.@-+ ", r.choice(odd)]) for _ in range(r.randint(0, 40)))
+        plain, source = "", []
+        for i, c in enumerate(t):
+            for x in P.CHARACTERS.get(c, c):
+                plain += x
+                source.append(i)
+        if any(w in plain.lower() for w in ("at", "dot")) or any(b in plain for b in "[({<"):
+            continue
+        base = P.identifiers(t)
+        want = {(a, k, b) for k, spans in base.items() for a, b in spans}
+        for k, spans in P.identifiers(plain).items():
+            for a, b in spans:
+                first, end = source[a], source[b - 1] + 1
+                if t[first:end] != plain[a:b] and not any(x <= first and end <= y for x, y in base[k]):
+                    want.add((first, k, end))
+        assert set(P.spans(t)[1]) == want, t
+
+
+def test_query(spark, tmp_path):
+    from stallwright.llm.queries import QUERIES
+
+    texts = {1: "a@b.co and 10.0.0.1", 2: None, 3: "", 4: "\u0430 \u2022 bob (at) site [dot] com", 5: "x" * 100_000 + " 4111-1111-1111-1111"}
+    docs(spark, texts, {"spans": 1}).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in QUERIES["op7_pii"](spark, str(tmp_path)).collect()}
+    for k, t in texts.items():
+        assert rows[k].base_sha256 == P.brute_force(t) and rows[k].spans == P.joined(P.spans(t)[1])
+    assert rows[4].n_email == 0 and rows[4].spans.startswith("email:4:")
