@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import functools
 import gc
+import itertools
 import os
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII bytes that separate words become blanks, A-Z become a-z; every byte above 0x7F belongs to a word.
@@ -88,6 +89,17 @@ def narrow(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(f"`{n}`") for n in names))
 
 
+def text_digest(text: str = "text") -> Column:
+    """MD5 of the text, that of the empty one for null."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+
+
+def fresh_names(docs: DataFrame, n: int) -> list[str]:
+    """n column names that the frame doesn't have."""
+    have = {c.lower() for c in docs.columns}
+    return list(itertools.islice((c for c in (f"_x{k}" for k in itertools.count()) if c not in have), n))
+
+
 def kept_rows(docs: DataFrame, make: Callable[[], Callable[[str | None], bool]], text: str = "text") -> DataFrame:
     """The rows whose text passes the test that `make` builds once for each task; all columns stay as they are."""
 

@@ -1,21 +1,29 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test questions and answers.
 
 Words are runs of letters, digits and non-ASCII characters with A-Z lower-cased. A benchmark item gives every
-window of `window` consecutive words, or itself if it is shorter. The automaton holds the windows as text with
-blanks around each word, so a match always covers whole words; a document is normalised and scanned once, and the
-words found are mapped back to character spans of the original text.
+window of `window` consecutive words, or itself if it is shorter. The automaton reads words, not characters: each
+word of the benchmark is a code of two characters from two alphabets, so a match always covers whole words, and a
+window of ten words is twenty nodes at most. A document is normalised and scanned once, and the words found are mapped
+back to character spans of the original text. A Python worker builds the automaton once for all its tasks.
+
+The benchmark is broadcast only up to `max_chars` characters, for which the automaton has some 3 million nodes of 40
+bytes; a larger one is cut into chunks of at most that size by a hash of the item. Every chunk then is a pass of its
+own over the documents, one after the other, which returns the texts it hits; these are joined by digest.
 
 Cases: null or empty texts have no words and no hits; items without words match nothing; equal windows of several
-items count for each; repeated documents each get their own row; an empty benchmark leaves every document clean.
-The automaton is broadcast only up to `max_chars` characters of benchmark; a larger benchmark is cut into chunks
-of at most that size by a hash of the item, each scanned in its own pass over the documents.
+items count for each; items with a null id are one item, "null"; very long texts are scanned whole; repeated documents
+each get their own row; an empty table gives an empty result, an empty benchmark leaves every document clean; kept
+columns come through unless they are named like a result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,51 +32,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept_rows, words
+from .common import cut, fresh_names, kept_rows, text_digest, words
 
 WINDOW = 10
-MAX_CHARS = 8_000_000
+MAX_CHARS = 1_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SPANS = "spans array<struct<first_word:bigint,end_word:bigint,start:bigint,end:bigint>>"
 
 
-def windows_of(text: str | None, window: int) -> list[str]:
-    w = [x.decode() for x in words(text)]
-    return [" " + " ".join(w[i : i + window]) + " " for i in range(max(1, len(w) - window + 1))] if w else []
-
-
-def automaton(items: list[tuple[str, str | None]], window: int) -> ahocorasick.Automaton | None:
-    """None if no item has a word. Values: (words in the window, ids of the items that have it)."""
-    owners: dict[str, set[str]] = {}
-    for item, text in items:
-        for w in windows_of(text, window):
-            owners.setdefault(w, set()).add(item)
-    if not owners:
-        return None
-    found = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        found.add_word(w, (w.count(" ") - 1, tuple(sorted(ids))))
-    found.make_automaton()
-    return found
-
-
-def scan(text: str | None, found: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Words in the text, merged [first, end) ranges of hit words, items found."""
-    w = words(text)
-    if not w or found is None:
-        return len(w), [], set()
-    flat = " " + b" ".join(w).decode() + " "
-    hits, items = [], set()
-    for end, (n, ids) in found.iter(flat):
-        hits.append((end, n))
-        items.update(ids)
-    if not hits:
-        return len(w), [], items
-    at, place = {}, 0
-    for k, x in enumerate(flat[1:-1].split(" ")):
-        place += len(x) + 1
-        at[place] = k + 1
-    return len(w), merged([(at[e] - n, at[e]) for e, n in hits]), items
+class Codes(dict):
+    """Two characters for each word of the benchmark, blanks for all others; the alphabets of the two don't meet."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        size, first = max(1, math.isqrt(len(vocabulary)) + 1), 0x100
+        if first + 2 * size >= 0xD800:
+            raise ValueError("the vocabulary of a chunk is too large")
+        super().__init__((w, chr(first + k // size) + chr(first + size + k % size)) for k, w in enumerate(vocabulary))
+
+    def __missing__(self, word: bytes) -> str:
+        return "  "
+
+    def of(self, w: list[bytes]) -> str:
+        return "".join(map(self.__getitem__, w))
+
+
+class Matcher:
+    """The automaton of items (id, text). Values: (words in the window, ids of the items that have it)."""
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int):
+        texts = [(item, words(text)) for item, text in items]
+        self.codes = Codes(sorted({x for _, w in texts for x in w}))
+        owners: dict[str, set[str]] = {}
+        for item, w in texts:
+            flat, n = self.codes.of(w), min(window, len(w))
+            for i in range(len(w) - n + 1 if n else 0):
+                owners.setdefault(flat[2 * i : 2 * (i + n)], set()).add(item)
+        self.found = ahocorasick.Automaton() if owners else None
+        if self.found is not None:
+            for flat, ids in owners.items():
+                self.found.add_word(flat, (len(flat) // 2, tuple(sorted(ids))))
+            self.found.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Words in the text, merged [first, end) ranges of hit words, items found."""
+        w, hits, items = words(text), [], set()
+        for last, (n, ids) in self.found.iter(self.codes.of(w)) if w and self.found is not None else ():
+            hits.append((last // 2 + 1 - n, last // 2 + 1))
+            items.update(ids)
+        return len(w), merged(hits), items
+
+
+_built: dict[str, Matcher] = {}
+
+
+def matcher(name: str, shipped, window: int) -> Matcher:
+    """The matcher of a broadcast chunk; a worker keeps the last one."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Matcher(shipped.value, window)
+    return _built[name]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -102,15 +124,46 @@ def item_chunks(benchmark: DataFrame, item_id: str = "item_id", item_text: str =
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS) -> DataFrame:
     """The documents without any benchmark passage, with all their columns."""
-    for rows in item_chunks(benchmark, max_chars=max_chars):
-        shipped = docs.sparkSession.sparkContext.broadcast(rows)
+    chunks = list(_shipped(docs, item_chunks(benchmark, max_chars=max_chars)))
+    if len(chunks) == 1:
+        name, shipped = chunks[0]
 
-        def make(shipped=shipped):
-            found = automaton(shipped.value, window)
-            return lambda text: not scan(text, found)[1]
+        def make():
+            found = matcher(name, shipped, window)
+            return lambda text: not found.scan(text)[1]
 
-        docs = kept_rows(docs, make)
-    return docs
+        return kept_rows(docs, make)
+    names = fresh_names(docs, 1)
+    rows = docs.withColumn(names[0], text_digest("text"))
+    hit = _hits(docs, "text", chunks, window).select(F.col("digest").alias(names[0]))
+    return rows.join(hit, names[0], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _shipped(docs: DataFrame, chunks: Iterator[list]) -> Iterator[tuple[str, object]]:
+    for rows in chunks:
+        yield uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(rows)
+
+
+RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _hits(docs: DataFrame, text: str, chunks: list, window: int) -> DataFrame:
+    """digest, ranges and items of the texts that any chunk hits; every chunk is a scan of its own."""
+    rows, parts = docs.select(text_digest(text).alias("digest"), F.col(f"`{text}`").cast("string").alias("text")), []
+    for name, shipped in chunks:
+
+        def run(batches: Iterator[pa.RecordBatch], name=name, shipped=shipped) -> Iterator[pa.RecordBatch]:
+            found = matcher(name, shipped, window)
+            for b in batches:
+                hits = [(d.as_py(), *found.scan(t.as_py())[1:]) for d, t in zip(b.column(0), b.column(1))]
+                hits = [h for h in hits if h[1]]
+                ranges = [[{"a": x, "b": y} for x, y in r] for _, r, _ in hits]
+                yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.binary()), pa.array(ranges, RANGES), pa.array([sorted(h[2]) for h in hits], pa.list_(pa.string()))], names=["digest", "ranges", "items"])
+
+        found = rows.mapInArrow(run, "digest binary, ranges array<struct<a:bigint,b:bigint>>, items array<string>")
+        parts.append(cut(found.dropDuplicates(["digest"])))
+    every = functools.reduce(DataFrame.union, parts)
+    return every.groupBy("digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def contamination(
@@ -125,41 +178,29 @@ def contamination(
     max_chars: int = MAX_CHARS,
 ) -> DataFrame:
     """Columns `keep` of every document plus n_words, n_hit, items (sorted ids) and spans of the hit passages."""
-    kept = [f"`{k}`" for k in keep]
-    out = docs.select(*kept, F.col(f"`{text}`").cast("string").alias("_text"))
-    fields = T._parse_datatype_string(f"_text string, _n bigint, _r array<struct<a:bigint,b:bigint>>, _i array<string>")
-    for rows in item_chunks(benchmark, item_id, item_text, max_chars):
-        shipped = docs.sparkSession.sparkContext.broadcast(rows)
-        schema = T.StructType([f for f in out.schema.fields if f.name not in ("_text", "_n", "_r", "_i")] + fields.fields)
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, schema=schema) -> Iterator[pa.RecordBatch]:
-            found = automaton(shipped.value, window)
-            for b in batches:
-                old = {n: b.column(n).to_pylist() for n in ("_r", "_i") if n in b.schema.names}
-                n, r, i = [], [], []
-                for k, t in enumerate(b.column("_text").to_pylist()):
-                    count, ranges, ids = scan(t, found)
-                    if old:
-                        ranges = merged(ranges + [(x["a"], x["b"]) for x in old["_r"][k]])
-                        ids = ids | set(old["_i"][k])
-                    n.append(count)
-                    r.append([{"a": x, "b": y} for x, y in ranges])
-                    i.append(sorted(ids))
-                new = {"_n": pa.array(n, pa.int64()), "_r": pa.array(r, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), "_i": pa.array(i, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else b.column(f.name) for f in schema.fields], names=schema.names)
-
-        out = out.mapInArrow(run, schema)
-    done = T.StructType([f for f in out.schema.fields if f.name[0] != "_" or f.name in keep] + T._parse_datatype_string(f"n_words bigint, n_hit bigint, items array<string>, {SPANS}").fields)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("first_word", "end_word", "start", "end")]))
+    chunks = list(_shipped(docs, item_chunks(benchmark, item_id, item_text, max_chars)))
+    results = T._parse_datatype_string(f"n_words bigint, n_hit bigint, items array<string>, {SPANS}").fields
+    keep = tuple(k for k in keep if k not in {f.name for f in results})
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([(x, pa.int64()) for x in ("first_word", "end_word", "start", "end")]))]
+    kept = docs.select(*(F.col(f"`{k}`").alias(f"c{n}") for n, k in enumerate(keep)), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([T.StructField(k, f.dataType, f.nullable) for k, f in zip(keep, kept.schema.fields)] + results)
+    many = len(chunks) > 1
+    if many:
+        kept = kept.withColumn("digest", text_digest()).join(_hits(docs, text, chunks, window), "digest", "left").drop("digest")
+    name, shipped = chunks[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = None if many else matcher(name, shipped, window).scan
         for b in batches:
-            ranges = [[(x["a"], x["b"]) for x in r] for r in b.column("_r").to_pylist()]
-            spans = [located(t.as_py(), r) if r else [] for t, r in zip(b.column("_text"), ranges)]
-            new = {"n_words": b.column("_n"), "n_hit": pa.array([sum(y - x for x, y in r) for r in ranges], pa.int64()), "items": b.column("_i"), "spans": pa.array(spans, kind)}
-            yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else b.column(f.name) for f in done.fields], names=done.names)
-
-    return out.mapInArrow(finish, done)
+            out: list[tuple] = []
+            old = zip(b.column("ranges").to_pylist(), b.column("items").to_pylist()) if many else itertools.repeat(None)
+            for t, o in zip(b.column("text"), old):
+                t = t.as_py()
+                n, ranges, items = scan(t) if scan else (len(words(t)), merged([(x["a"], x["b"]) for x in o[0] or []]), o[1] or [])
+                out.append((n, sum(y - x for x, y in ranges), sorted(items), located(t, ranges) if ranges else []))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def digest(result: DataFrame) -> DataFrame:

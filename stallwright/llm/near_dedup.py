@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, table, utf8, words
+from .common import cut, release, table, text_digest, utf8, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 6
@@ -196,9 +196,6 @@ def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
     return docs.select(F.col(f"`{id}`").cast("bigint"), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
 
 
-def text_digest(text: str = "text"):
-    return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
-
 
 def _close(a: str, b: str):
     """Whether the weighted or the unit sketches differ in few bits."""

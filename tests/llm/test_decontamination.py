@@ -44,3 +44,29 @@ def test_clean_and_empty(spark):
     assert sorted(r.doc_id for r in D.clean(df, bench(spark), max_chars=100).collect()) == [3, 4, 5]
     assert D.clean(df, bench(spark).limit(0)).count() == 6
     assert D.contamination(df.limit(0), bench(spark)).count() == 0
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from stallwright.llm.queries import ORACLE_SQL, QUERIES
+
+    docs(spark, TEXTS | {9: "SHORT question, why"}, {"item": 1}).write.parquet(str(tmp_path / "documents.parquet"))
+    bench(spark).where("item_id IS NOT NULL").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = QUERIES["op9_decontamination"](spark, str(tmp_path))
+    want = con.execute(ORACLE_SQL["op9_decontamination"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 7
+
+
+def test_kept_columns_that_clash(spark):
+    df = docs(spark, TEXTS, {"_r": 1, "n_hit": 9, "digest": 2, "_x0": 3})
+    for most in (D.MAX_CHARS, 300):
+        rows = D.contamination(df, bench(spark), keep=("doc_id", "_r", "n_hit", "text", "digest"), max_chars=most)
+        assert rows.columns == ["doc_id", "_r", "text", "digest", "n_words", "n_hit", "items", "spans"]
+        assert {(r.doc_id, r.text) for r in rows.collect()} == set(TEXTS.items())
+        assert D.clean(df, bench(spark), max_chars=most).columns == df.columns
+    twice = df.unionByName(df)
+    assert D.clean(twice, bench(spark), max_chars=300).count() == 6 and D.contamination(twice, bench(spark), max_chars=300).count() == 12
