@@ -1,19 +1,23 @@
 """WARC archives of captured pages and an external merge of their indexes.
 
 Every page becomes one record of a gzip-per-record WARC archive. Of pages with equal payloads of at least
-`MIN_BYTES` bytes, the one with the smallest page_id is a response, the others are revisits that refer to it; all
-smaller payloads are responses. Each writing task closes an archive at `ARCHIVE_BYTES` and sorts at most `RUN_ROWS`
-index entries at a time into a run: a Parquet file ordered by URL key, timestamp and page. The runs are merged by
-loser trees: each merge task owns a range of keys, reads only the row groups of the runs that overlap it, and
-streams the captures out in order; with more than `FAN_IN` runs, groups of them are merged into longer runs first.
-Range bounds are whole keys (URL key, timestamp, page), so a URL captured very often is spread over tasks.
+`MIN_BYTES` bytes, the one with the smallest page_id is a response, the others are revisits that refer to it and state
+its payload's digest and length; all smaller payloads are responses. Each writing task closes an archive at
+`ARCHIVE_BYTES` and sorts at most `RUN_ROWS` index entries at a time into a run: a Parquet file ordered by URL key,
+timestamp and page. The runs are merged by loser trees: each merge task owns a range of keys, reads only the row
+groups of the runs that overlap it, and streams the captures out in order. With more than `FAN_IN` runs, groups of
+them are merged into longer runs first, each group by as many tasks as its rows ask for, again by ranges; a longer run
+is then a list of pieces with bounds, of which a later task opens those that its range meets. Range bounds are whole
+keys (URL key, timestamp, page), so a URL captured very often is spread over tasks, and so is a payload that very many
+pages share.
 
 Archives and runs are written to the shared folder under names that a task attempt never uses twice; only names
 that a finished task has returned are read, so lost executors and repeated tasks leave nothing wrong behind.
 
-Cases: a null html is an empty payload, a null url an empty URL key; rows that agree in page_id and payload are the
-same capture, so that both are responses if one is; a null page_id never is the smallest, and has no history
-position of its own order but sorts first; an empty table gives an empty result; extra columns are ignored.
+Cases: a null html is an empty payload, a null url an empty URL key; very long payloads are records of their size;
+rows that agree in page_id and payload are the same capture, so that both are responses if one is; a null page_id never
+is the smallest, and has no history position of its own order but sorts first; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +37,14 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, table, utf8
+from .common import cut, fresh_dir, spread, table, utf8
 
 MIN_BYTES, ARCHIVE_BYTES, RUN_ROWS, GROUP_ROWS, FAN_IN = 0, 64 << 20, 50_000, 4_096, 128
 #: Duplicate payloads up to this many are broadcast (about 50 bytes each); above, Spark joins by shuffling.
 FEW = 200_000
 RANGE_ROWS, MOST_RANGES, MOST_KEYS = 20_000, 2_000, 20_000
+#: Rows of a group of runs that one task merges into a piece of a longer run.
+LEVEL_ROWS = 5_000_000
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 ENTRY = [("urlkey", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
 
@@ -82,7 +88,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, revisit: bool,
         f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}", f"X-Payload-Length: {len(payload)}"]
     body = b"" if revisit else payload
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + body
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(http)}", "", ""]
@@ -197,8 +203,13 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("sha1"))
     same = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    same = cut(same)
-    rows = rows.join(F.broadcast(same) if same.count() <= FEW else same, "sha1", "left").withColumn("repeated", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    same = cut(same.withColumnRenamed("sha1", "of"))
+    if same.count() <= FEW:
+        rows = rows.join(F.broadcast(same), F.col("sha1") == F.col("of"), "left")
+    else:
+        rows, same, on = spread(rows, "sha1", "page_id", same, "of")
+        rows = rows.join(same, on, "left")
+    rows = rows.withColumn("repeated", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(folder)
@@ -235,14 +246,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
 
 
 def read_archives(spark, archives: DataFrame) -> DataFrame:
-    """archive, offset, page_id, record_type, payload_digest, payload_bytes and refers_to of every record.
+    """archive, offset, page_id, payload_bytes, payload_digest, record_type and refers_to of every record.
 
-    Bytes and digest are those of the payload read back; for a revisit, those of the response it refers to.
+    Bytes and digest are those of the payload read back, which must have the digest that the record states; a revisit
+    has no payload, its own are those that it states of the response it refers to.
     """
-    schema = "archive string, offset bigint, page_id bigint, record_type string, stated string, digest string, size bigint, refers_to bigint"
+    schema = "archive string, offset bigint, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         names = [x.split()[0] for x in schema.split(", ")]
         for b in batches:
             for name in b.column(0).to_pylist():
@@ -250,9 +262,12 @@ def read_archives(spark, archives: DataFrame) -> DataFrame:
                 out: list[tuple] = []
                 with fs.open_input_stream(path, compression=None) as f:
                     for at, h, payload in records(f):
-                        again = h["WARC-Type"] == "revisit"
                         number = lambda k: int(h[k]) if h.get(k, "").lstrip("-").isdigit() else None  # noqa: B023, E731
-                        out.append((name, at, number("X-Page-ID"), h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha1:"), None if again else sha1_32(payload), None if again else len(payload), number("X-Refers-To-Page")))
+                        stated, again = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"] == "revisit"
+                        if not again and sha1_32(payload) != stated:
+                            raise ValueError(f"the payload at {at} of {name} has not the digest of its record")
+                        size = number("X-Payload-Length") if again else len(payload)
+                        out.append((name, at, number("X-Page-ID"), size, stated, h["WARC-Type"], number("X-Refers-To-Page")))
                         if len(out) >= 5_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
                             out = []
@@ -263,19 +278,27 @@ def read_archives(spark, archives: DataFrame) -> DataFrame:
     return names.repartition(max(1, min(2_000, names.count()))).mapInArrow(run, schema)
 
 
-def merge_runs(spark, runs: list[str], folder: str, fan_in: int = FAN_IN) -> DataFrame:
-    """The captures of all runs in the order of URL key, timestamp and page, with their global `position`."""
-    level = sorted(runs)
-    while len(level) > fan_in:
-        groups = spark.createDataFrame([(level[i : i + fan_in],) for i in range(0, len(level), fan_in)], "runs array<string>")
+Piece = tuple[str, tuple | None, tuple | None]
+
+
+def _meets(piece: Piece, lo: tuple | None, hi: tuple | None) -> bool:
+    return not (lo and piece[2] and piece[2] <= lo or hi and piece[1] and piece[1] >= hi)
+
+
+def _bounds(keys: list[tuple], n: int) -> list[tuple[tuple | None, tuple | None]]:
+    """At most n ranges of keys that hold about as many of the sampled, sorted keys each."""
+    at = sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
+    return list(zip([None, *at], [*at, None]))
 
-        def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                made = [_write_run(folder, LoserTree([_read_run(r, None, None) for r in group])) for group in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["run"])
 
-        n = -(-len(level) // fan_in)
-        level = sorted(r.run for r in groups.repartition(n).mapInArrow(longer, "run string").collect() if r.run)
+def _piecewise(pieces: list[Piece], lo: tuple | None, hi: tuple | None) -> Iterator[tuple]:
+    """Entries in [lo, hi) of a run that is a list of pieces in order."""
+    for uri, *_ in pieces:
+        yield from _read_run(uri, lo, hi)
+
+
+def merge_runs(spark, runs: list[str], folder: str, fan_in: int = FAN_IN) -> DataFrame:
+    """The captures of all runs in the order of URL key, timestamp and page, with their global `position`."""
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -283,7 +306,7 @@ def merge_runs(spark, runs: list[str], folder: str, fan_in: int = FAN_IN) -> Dat
                 fs, path = filesystem(r)
                 with fs.open_input_file(path) as f:
                     file = pq.ParquetFile(f)
-                    step = max(1, file.metadata.num_rows // (MOST_KEYS // len(level) + 1))
+                    step = max(1, file.metadata.num_rows // (MOST_KEYS // len(runs) + 1))
                     at = 0
                     for g in range(file.num_row_groups):
                         keys = file.read_row_group(g, columns=["urlkey", "timestamp", "page_id"]).combine_chunks()
@@ -291,14 +314,31 @@ def merge_runs(spark, runs: list[str], folder: str, fan_in: int = FAN_IN) -> Dat
                         at += keys.num_rows
 
     schema = "part int, urlkey string, timestamp string, page_id bigint, archive string, offset bigint, length bigint, nth bigint"
-    if not level:
+    if not runs:
         return spark.createDataFrame([], schema).select("urlkey", "timestamp", "page_id", "archive", "offset", "length", F.col("nth").alias("position"))
-    listed = spark.createDataFrame([(r,) for r in level], "run string").repartition(len(level))
+    listed = spark.createDataFrame([(r,) for r in runs], "run string").repartition(min(MOST_RANGES, len(runs)))
     keys = sorted(_sort_key((r.urlkey, r.timestamp, r.page_id)) for r in listed.mapInArrow(heads, "urlkey string, timestamp string, page_id bigint").collect())
-    rows = spark.read.parquet(*level).count()
-    n = max(1, min(MOST_RANGES, rows // RANGE_ROWS, len(keys)))
-    bounds = sorted({keys[len(keys) * k // n] for k in range(1, n)})
-    ranges = [(k, lo, hi) for k, (lo, hi) in enumerate(zip([None, *bounds], [*bounds, None]))]
+    rows = spark.read.parquet(*runs).count()
+    level: list[list[Piece]] = [[(r, None, None)] for r in sorted(runs)]
+    while len(level) > fan_in:
+        groups = [level[i : i + fan_in] for i in range(0, len(level), fan_in)]
+        cuts = _bounds(keys, max(1, rows // len(groups) // LEVEL_ROWS))
+        jobs = [(g, lo, hi, [[p for p in run if _meets(p, lo, hi)] for run in group]) for g, group in enumerate(groups) for lo, hi in cuts]
+        shipped = spark.sparkContext.broadcast(jobs)
+
+        def longer(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    _, lo, hi, parts = shipped.value[k]
+                    made = _write_run(folder, LoserTree([_piecewise(p, lo, hi) for p in parts]))
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([made], pa.string())], names=["job", "run"])
+
+        done = spark.createDataFrame([(k,) for k in range(len(jobs))], "job int").repartitionById(len(jobs), F.col("job")).mapInArrow(longer, "job int, run string").collect()
+        level = [[] for _ in groups]
+        for k, made in sorted(done):
+            if made:
+                level[jobs[k][0]].append((made, jobs[k][1], jobs[k][2]))
+    ranges = [(k, lo, hi) for k, (lo, hi) in enumerate(_bounds(keys, max(1, min(MOST_RANGES, rows // RANGE_ROWS, len(keys)))))]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), *(t for _, t in ENTRY), pa.int64()]
@@ -307,7 +347,7 @@ def merge_runs(spark, runs: list[str], folder: str, fan_in: int = FAN_IN) -> Dat
             for part in b.column(0).to_pylist():
                 _, lo, hi = ranges[part]
                 out: list[tuple] = []
-                for nth, e in enumerate(LoserTree([_read_run(r, lo, hi) for r in level])):
+                for nth, e in enumerate(LoserTree([_piecewise([p for p in run if _meets(p, lo, hi)], lo, hi) for run in level])):
                     out.append((part, *e[:2], None if e[2] == -(1 << 63) else e[2], *e[3:], nth))
                     if len(out) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
@@ -315,7 +355,7 @@ def merge_runs(spark, runs: list[str], folder: str, fan_in: int = FAN_IN) -> Dat
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    merged = cut(spark.createDataFrame([(k,) for k, *_ in ranges], "part int").repartition(len(ranges), "part").mapInArrow(merge, schema))
+    merged = cut(spark.createDataFrame([(k,) for k, *_ in ranges], "part int").repartitionById(len(ranges), F.col("part")).mapInArrow(merge, schema))
     total, starts = 0, []
     for r in sorted(merged.groupBy("part").count().collect()):
         starts.append((r.part, total))
@@ -329,13 +369,8 @@ def captures(spark, pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     folder = fresh_dir(spark, "warc")
     written = write_archives(pages, folder, min_bytes)
     found = cut(read_archives(spark, written))
-    full = found.where("record_type = 'response'").groupBy(F.col("page_id").alias("of"), F.col("digest").alias("stated")).agg(F.max("size").alias("full_size"))
-    revisits = found.where("record_type = 'revisit'").join(full, (F.col("refers_to") == F.col("of")) & (found["stated"] == full["stated"]), "left")
-    both = found.where("record_type = 'response'").select("archive", "offset", "page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to").unionByName(
-        revisits.select("archive", "offset", "page_id", F.col("full_size").alias("payload_bytes"), found["stated"].alias("payload_digest"), "record_type", "refers_to")
-    )
     history = merge_runs(spark, [r.run for r in written.where("run IS NOT NULL").select("run").collect()], folder)
-    return both.join(history.select("archive", "offset", "urlkey", "timestamp", "position"), ["archive", "offset"])
+    return found.join(history.select("archive", "offset", "urlkey", "timestamp", "position"), ["archive", "offset"])
 
 
 def op2_warc_merge(spark, sf_dir: str) -> DataFrame:

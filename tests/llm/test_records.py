@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stallwright.llm import audio as A
 from stallwright.llm import chat_format as C
+from stallwright.llm import common as M
 from stallwright.llm import training_order as O
 from stallwright.llm import warc_merge as W
 from stallwright.llm.common import fresh_dir
@@ -49,12 +50,25 @@ def test_captures(spark, monkeypatch):
     assert W.captures(spark, pages.limit(0)).count() == 0
 
 
-def test_runs_beyond_the_fan_in_are_merged_in_levels(spark):
+def test_runs_beyond_the_fan_in_are_merged_in_levels(spark, monkeypatch):
     folder = fresh_dir(spark, "runs")
     entries = [W._sort_key((f"k{k % 17:02d}", f"t{k:03d}", k, "a", k, 1)) for k in range(100)]
     runs = [W._write_run(folder, sorted(entries[k::9])) for k in range(9)]
-    got = [(r.urlkey, r.page_id) for r in W.merge_runs(spark, runs, folder, fan_in=2).orderBy("position").collect()]
-    assert got == [(e[0], e[2]) for e in sorted(entries)]
+    for rows in (W.LEVEL_ROWS, 8):  # groups merged whole, and by ranges
+        monkeypatch.setattr(W, "LEVEL_ROWS", rows)
+        got = [(r.urlkey, r.page_id) for r in W.merge_runs(spark, runs, folder, fan_in=2).orderBy("position").collect()]
+        assert got == [(e[0], e[2]) for e in sorted(entries)]
+
+
+def test_a_payload_of_very_many_pages_is_split(spark, monkeypatch):
+    monkeypatch.setattr(W, "FEW", 0)
+    monkeypatch.setattr(M, "TOGETHER", 10)
+    pages = spark.createDataFrame([(k, "u", "same" if k % 3 else f"own {k}") for k in range(1, 100)], "page_id bigint, url string, html string")
+    pages = pages.unionByName(pages.where("page_id = 5"))  # a repeated row
+    got = W.captures(spark, pages).collect()
+    assert len(got) == 100
+    for r in got:
+        assert (r.record_type, r.refers_to, r.payload_bytes) == (("revisit", 1, 4) if r.page_id % 3 and r.page_id != 1 else ("response", None, 4 if r.page_id == 1 else len(f"own {r.page_id}")))
 
 
 def test_small_payloads_are_all_responses(spark):
