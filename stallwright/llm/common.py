@@ -94,22 +94,29 @@ def text_digest(text: str = "text") -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
 
 
-#: Rows of one key that stay together where `spread` splits a key, and keys that it splits up to which they are broadcast.
-TOGETHER, FEW_HOT = 1_000, 100_000
+#: Rows of one key that stay together where `joined` splits a key, and keys that it splits up to which they are broadcast.
+TOGETHER, FEW_HOT = 250, 100_000
 
 
-def spread(rows: DataFrame, key: str, by: str, side: DataFrame, side_key: str) -> tuple[DataFrame, DataFrame, list[Column]]:
-    """Both sides with what they join on, so that a key with many rows is dealt over tasks by the hash of `by`.
+def joined(rows: DataFrame, key: str, by: str, side: DataFrame, side_key: str, how: str = "inner", also: Column | None = None, first: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """`rows` joined with the row of `side` that has their key; a key with many rows is dealt over tasks by the hash of `by`.
 
-    A key of n rows gets n / TOGETHER parts; the side's row of that key is repeated for each, so at most one repeat
-    comes on TOGETHER rows. The rows' names must not be those of the side.
+    A key of n rows, more than `TOGETHER`, gets n / TOGETHER parts; the side's row of that key is repeated for each, so
+    at most one repeat comes on TOGETHER rows. `first` is applied to the rows before they meet the side. `rows` are read
+    several times; names must differ from those of the side.
     """
-    hot = cut(rows.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_n") > TOGETHER).select("_hot", F.ceil(F.col("_n") / TOGETHER).alias("_parts")))
-    few = hot.count() <= FEW_HOT
-    near = F.broadcast(hot) if few else hot
-    dealt = rows.join(near, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)))).drop("_hot", "_parts")
-    copied = side.join(near, F.col(side_key) == F.col("_hot"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts")
-    return dealt, copied, [F.col(key) == F.col(side_key), F.col("_part") == F.col("_copy")]
+    on = F.col(key) == F.col(side_key)
+    on = on if also is None else on & also
+    hot = rows.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_hot").isNotNull() & (F.col("_n") > TOGETHER))
+    hot = cut(hot.select("_hot", F.ceil(F.col("_n") / TOGETHER).alias("_parts")))
+    n = hot.count()
+    if not n:
+        return first(rows).join(side, on, how)
+    hot = F.broadcast(hot) if n <= FEW_HOT else hot
+    cold = first(rows.join(hot, F.col(key) == F.col("_hot"), "left_anti")).join(side, on, how)
+    dealt = rows.join(hot, F.col(key) == F.col("_hot")).withColumn("_part", F.pmod(F.xxhash64(by), "_parts")).drop("_hot", "_parts")
+    copies = side.join(hot, F.col(side_key) == F.col("_hot")).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_hot", "_parts")
+    return cold.unionByName(first(dealt).join(copies, on & (F.col("_part") == F.col("_copy")), how).drop("_part", "_copy"))
 
 
 def fresh_names(docs: DataFrame, n: int) -> list[str]:

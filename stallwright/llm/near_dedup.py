@@ -11,17 +11,19 @@ the plain Jaccard similarity; elsewhere both are the same. Either set's bands an
 Texts that are equal become one node first. In each bucket every node is compared with the bucket's smallest one
 only; links that pass give components. Where a bucket still holds several components, nodes of different ones are
 joined under a condition on 1-bit sketches inside the join, so only pairs that are close already are emitted; in
-buckets with more than `LARGE` open nodes the condition is the similarity itself, on 32-bit shingle hashes,
-after `ROUNDS` more round against one leader each, so that a large group of half-similar texts emits little but
-the links that join its components. All candidates are verified exactly
-on the texts: a link has a plain or a probability Jaccard similarity of at least `THRESHOLD`. Classes are the connected components, by alternating large-star and small-star steps; nothing but counters reaches
-the driver. A pair of similarity 0.8 is missed with probability 2.7e-5 (1.8e-5 share no band, 1.0e-5 differ in
-more than `MOST_BITS` sketch bits), whatever its counts.
+buckets with more than `LARGE` open nodes the condition is the similarity itself, on the shingle hashes that
+verification uses too, after `ROUNDS` more round against one leader each, so that a large group of half-similar texts
+emits little but the links that join its components. As the condition is the same, one pair stands for all that link
+the same components. All candidates are verified exactly on the texts: a link has a plain or a probability Jaccard
+similarity of at least `THRESHOLD`. A node that very many others are compared with is repeated, and these dealt over
+tasks. Classes are the connected components, by alternating large-star and small-star steps (rows of 32 bytes, whose
+hubs adaptive execution splits); nothing but counters reaches the driver. A pair of similarity 0.8 is missed with
+probability 2.7e-5 (1.8e-5 share no band, 1.0e-5 differ in more than `MOST_BITS` sketch bits), whatever its counts.
 
 Cases: null is the empty text; texts of one to four words are one shingle; texts without words have equal texts as
-their only partners; repeated rows and ties fall into one class; rows with a null doc_id belong to their text's
-class, whose id is the smallest doc_id in it, null if it has none; an empty table gives an empty result; extra
-columns are ignored (`deduplicated` keeps them).
+their only partners; very long texts are read whole; repeated rows and ties fall into one class; rows with a null
+doc_id belong to their text's class, whose id is the smallest doc_id in it, null if it has none; an empty table gives
+an empty result; extra columns are ignored (`deduplicated` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, table, text_digest, utf8, words
+from .common import cut, fresh_names, joined, release, table, text_digest, utf8, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 6
@@ -211,29 +213,28 @@ def texts_of(ids: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """digest and its distinct shingles as 32-bit hashes, by levels of equal weight; one level has weight 1."""
+    """digest and its distinct shingle hashes, by levels of equal weight; one level has weight 1."""
 
     def levels(t: str | None) -> list[dict]:
         h, c = shingles(t)
-        h = (h >> np.uint64(32)).astype(np.uint32).astype(np.int32)
         each = np.unique(c)
-        return [{"w": float(weights(n)) if len(each) > 1 else 1.0, "h": np.unique(h[c == n]).tolist()} for n in each]
+        return [{"w": float(weights(n)) if len(each) > 1 else 1.0, "h": h[c == n].view(np.int64).tolist()} for n in each]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [levels(t.as_py()) for t in b.column(1)]
-            kind = pa.list_(pa.struct([("w", pa.float64()), ("h", pa.list_(pa.int32()))]))
+            kind = pa.list_(pa.struct([("w", pa.float64()), ("h", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, kind)], names=["digest", "levels"])
 
-    return texts.select("digest", "_text").mapInArrow(run, "digest binary, levels array<struct<w: double, h: array<int>>>")
+    return texts.select("digest", "_text").mapInArrow(run, "digest binary, levels array<struct<w: double, h: array<bigint>>>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) of digests whose texts are similar enough, with the similarity."""
     pairs = cut(pairs)
     texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), docs, text)
-    both = pairs.join(texts.select(F.col("digest").alias("b"), F.col("_text").alias("_tb")), "b")
-    both = both.join(texts.select(F.col("digest").alias("a"), F.col("_text").alias("_ta")), "a").select("a", "b", "_ta", "_tb")
+    ta, tb = (texts.select(F.col("digest").alias(f"_{x}"), F.col("_text").alias(f"_t{x}")) for x in "ab")
+    both = joined(pairs, "a", "b", ta, "_a", first=lambda rows: rows.join(tb, F.col("b") == F.col("_b"))).select("a", "b", "_ta", "_tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = functools.lru_cache(64)(shingles)
@@ -276,9 +277,10 @@ def _sum(x, f):
 def _alike(threshold: float):
     """Whether the levels la and lb of shingle hashes have the similarity, plain or probability Jaccard.
 
-    Sketches are compared first. Hashes of 32 bits may clash, so a little less than the threshold passes.
+    Sketches are compared first. Sums may differ in their last bits from those of `similarity`, so a little less than
+    the threshold passes.
     """
-    least = threshold - 0.001
+    least = threshold - 1e-9
     na, nb = (_sum(x, lambda y: F.size(y["h"]).cast("double")) for x in ("la", "lb"))
     wa, wb = (_sum(x, lambda y: y["w"] * F.size(y["h"])) for x in ("la", "lb"))
     met = F.flatten(F.transform("la", lambda x: F.transform("lb", lambda y: F.struct(x["w"].alias("x"), y["w"].alias("y"), F.size(F.array_intersect(x["h"], y["h"])).cast("double").alias("n")))))
@@ -321,11 +323,12 @@ def _large_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, links: list
         still = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), leader.alias("l")).where("lo <> hi")
         if k < ROUNDS:
             met = now.select("bucket", F.col("digest").alias("b"), F.col("root").alias("rb")).join(still.select("bucket", "l.*"), "bucket").where("ra <> rb").select("a", "b", "ra").distinct()
-            met = met.join(sets.withColumnsRenamed(b), "b").withColumnRenamed("a", "_a").join(sets.withColumnsRenamed(a), (F.col("_a") == F.col("a")) & _alike(threshold))
+            ours, theirs = sets.withColumnsRenamed(a | {"digest": "_a"}), sets.withColumnsRenamed(b | {"digest": "_b"})
+            met = joined(cut(met), "a", "b", ours, "_a", also=_alike(threshold), first=lambda rows: rows.join(theirs, F.col("b") == F.col("_b")))
             pairs = met.groupBy("b", "ra").agg(F.min("a").alias("a"))
         else:
             pairs = _met_again(now.join(still.select("bucket"), "bucket", "left_semi").join(sets, "digest"), ["levels"], _alike(threshold)).groupBy("a", "rb").agg(F.min("b").alias("b"))
-        found.append(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, text, threshold))
+        found.append(verified(pairs.select("a", "b").distinct(), docs, text, threshold))
         if k < ROUNDS:
             roots = cut(components(_pairs(links + found)))
             release(docs.sparkSession)
@@ -344,8 +347,9 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold:
     sketches = nodes.select("digest", "sketch").join(met.select("digest").distinct(), "digest", "left_semi")
     sketches = cut(sketches)
     star = met.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
-    close = star.join(sketches.select(F.col("digest").alias("b"), F.col("sketch").alias("sb")), "b")
-    close = close.join(sketches.select(F.col("digest").alias("a"), F.col("sketch").alias("sa")), "a").where(_close("sa", "sb"))
+    star = cut(star)
+    sa, sb = (sketches.select(F.col("digest").alias(f"_{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    close = joined(star, "a", "b", sa, "_a", also=_close("sa", "sb"), first=lambda rows: rows.join(sb, F.col("b") == F.col("_b")))
     links = verified(close.select("a", "b"), docs, text, threshold)
     roots = cut(components(links))
     release(docs.sparkSession)
@@ -374,10 +378,12 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", thresh
     """The documents with one row of every class left: the one with the smallest doc_id."""
     found = cut(classes(docs, text, id, threshold))
     release(docs.sparkSession)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")).distinct()
-    again = found.where("kept").groupBy("doc_id", "digest").count().where("count > 1").select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
-    rows = docs.withColumn("_digest", text_digest(text))
-    same = F.col("_digest").eqNullSafe(F.col("_gone_digest")) & F.col(f"`{id}`").eqNullSafe(F.col("_gone_id"))
+    gone_id, gone_digest, digest = fresh_names(docs, 3)
+    named = lambda rows: rows.select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest))
+    gone = named(found.where(~F.col("kept"))).distinct()
+    again = named(found.where("kept").groupBy("doc_id", "digest").count().where("count > 1"))
+    rows = docs.withColumn(digest, text_digest(text))
+    same = F.col(digest).eqNullSafe(F.col(gone_digest)) & F.col(f"`{id}`").eqNullSafe(F.col(gone_id))
 
     def fit(d: DataFrame) -> DataFrame:
         return F.broadcast(d) if d.count() <= FEW else d
@@ -385,8 +391,8 @@ def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", thresh
     gone, repeats = fit(cut(gone)), fit(cut(again))
     stay = rows.join(gone, same, "left_anti")
     once = stay.join(repeats, same, "left_anti")
-    twice = stay.join(repeats, same, "left_semi").dropDuplicates([id, "_digest"])
-    return once.unionByName(twice).drop("_digest")
+    twice = stay.join(repeats, same, "left_semi").dropDuplicates([id, digest])
+    return once.unionByName(twice).drop(digest)
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, spread, table, utf8
+from .common import cut, fresh_dir, joined, table, utf8
 
 MIN_BYTES, ARCHIVE_BYTES, RUN_ROWS, GROUP_ROWS, FAN_IN = 0, 64 << 20, 50_000, 4_096, 128
 #: Duplicate payloads up to this many are broadcast (about 50 bytes each); above, Spark joins by shuffling.
@@ -207,8 +207,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) ->
     if same.count() <= FEW:
         rows = rows.join(F.broadcast(same), F.col("sha1") == F.col("of"), "left")
     else:
-        rows, same, on = spread(rows, "sha1", "page_id", same, "of")
-        rows = rows.join(same, on, "left")
+        rows = joined(rows, "sha1", "page_id", same, "of", "left")
     rows = rows.withColumn("repeated", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,7 +52,7 @@ def test_large_buckets_equal_brute_force(spark, monkeypatch):
 
 def test_deduplicated_keeps_one_row_of_each_class(spark):
     texts = sample()
-    df = docs(spark, texts, {"digest": "x"})
+    df = docs(spark, texts, {"digest": "x", "_digest": 1, "_gone_id": 2, "_x0": 3})
     twice = df.unionByName(df)  # repeated rows
     kept = N.deduplicated(twice)
     assert kept.columns == df.columns
@@ -112,3 +112,40 @@ def test_large_bucket_condition_equals_similarity(spark):
     got = {(r.a[0], r.b[0]) for r in a.join(b, F.col("a") < F.col("b")).where(N._alike(0.8)).collect()}
     s = [N.shingles(t) for t in parts]
     assert got == {(i, j) for i in range(8) for j in range(i + 1, 8) if N.similarity(s[i], s[j]) >= 0.8} and {(0, 1), (2, 3), (4, 5)} <= got
+
+
+def repeated_lines(seed, words):
+    """A text whose first ten words come 80 times before it."""
+    w = [f"s{seed}w{k}" for k in range(words)]
+    return " ".join(w[:10] * 80 + w)
+
+
+def test_recall_of_pairs_on_repeated_lines(spark):
+    """60 words against the same with 80 repeats of ten before them and one word more: plain Jaccard 0.9, weighted far less."""
+    n = 150
+    texts = {2 * s: " ".join(f"s{s}w{k}" for k in range(60)) for s in range(n)} | {2 * s + 1: repeated_lines(s, 61) for s in range(n)}
+    s = N.similarity(N.shingles(texts[0]), N.shingles(texts[1]))
+    (ha, ca), (hb, cb) = N.shingles(texts[0]), N.shingles(texts[1])
+    assert s > 0.8 > N.probability_jaccard((ha, N.weights(ca)), (hb, N.weights(cb)))
+    got = {r.doc_id: r.class_id for r in N.classes(docs(spark, texts)).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(n)) >= 0.99 * n
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.83, each with a partner of its own."""
+    n, texts = 200, {}
+    for k in range(n):
+        base = [f"p{k}w{i}" for i in range(300)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(base[: 268 + k % 5] + [f"q{k}x{i}" for i in range(28)])
+    assert all(0.8 <= N.similarity(N.shingles(texts[2 * k]), N.shingles(texts[2 * k + 1])) < 0.85 for k in range(n))
+    got = {r.doc_id: r.class_id for r in N.classes(docs(spark, texts)).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(n)) >= 0.99 * n and len(set(got.values())) <= n + 2
+
+
+def test_hot_leader_is_split(spark, monkeypatch):
+    from stallwright.llm import common
+
+    monkeypatch.setattr(common, "TOGETHER", 5)
+    texts = sample() | {1000 + k: prose(4, 120) + f" end{k}" for k in range(60)}
+    got = {r.doc_id: r.class_id for r in N.classes(docs(spark, texts)).collect()}
+    assert got == N.brute_force(texts)
