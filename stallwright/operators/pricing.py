@@ -31,13 +31,14 @@ DEFAULTS = PricingOptions()
 def directed_comps(edges: DataFrame, listings: DataFrame) -> DataFrame:
     """(active, sold) pairs of comparable edges, whichever way round an edge is stored.
 
-    The edge is opened into its two directions by one scan, so listings are joined once on each end.
+    The edge is opened into its two directions by one scan, so listings are joined once on each end; the active end
+    comes last, so the rows are dealt by it for what follows.
     """
     ends = F.explode(F.array(F.struct(F.col("id_a").alias("x"), F.col("id_b").alias("y")), F.struct(F.col("id_b").alias("x"), F.col("id_a").alias("y"))))
     both = edges.where("is_comparable").select(ends.alias("e"), "similarity", "confidence").select("e.x", "e.y", "similarity", "confidence")
     a = listings.where("status = 'Active'").select(F.col("listing_id").alias("x"), F.col("price").alias("ask"), "shipping", F.col("condition").alias("a_condition"), "job_id")
     s = listings.where("status = 'Sold'").select(F.col("listing_id").alias("y"), F.col("price").alias("sold_price"), F.col("condition").alias("s_condition"), "created", "ended")
-    return both.join(a, "x").join(s, "y").withColumnsRenamed({"x": "active_id", "y": "sold_id"})
+    return both.join(s, "y").join(a, "x").withColumnsRenamed({"x": "active_id", "y": "sold_id"})
 
 
 def quartiles(comps: DataFrame) -> DataFrame:
@@ -65,36 +66,47 @@ def profit(mean: Column, ask: Column, shipping: Column, fee_percent: float) -> C
     return cents * (1 - fee_percent / 100) - ask - F.coalesce(shipping, F.lit(0.0)) if fee_percent > 0 else cents - ask
 
 
-def confidence(o: PricingOptions) -> Column:
-    mean, sd, n = F.avg("sold_price"), F.stddev_samp("sold_price"), F.count("*")
+def confidence(o: PricingOptions, price: str = "sold_price") -> Column:
+    mean, sd, n = F.avg(price), F.stddev_samp(price), F.count(price)
     spread = F.when(n == 1, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - sd / F.nullif(mean, F.lit(0.0))))
     return o.sample_weight * (1 - F.exp(-n / F.lit(o.sample_target))) + o.trust_weight * F.avg(F.coalesce("confidence", "similarity")) + o.spread_weight * spread
 
 
+def with_fences(comps: DataFrame) -> DataFrame:
+    """As `quartiles`, by a window: the comparables of a listing, which its edges bound, are in one partition already."""
+    w = Window.partitionBy("active_id")
+    rows = comps.where("sold_price > 0")
+    return rows.withColumn("q", F.percentile("sold_price", F.array(F.lit(0.25), F.lit(0.75))).over(w)).withColumn("n", F.count("*").over(w)).withColumns({"q1": F.col("q")[0], "q3": F.col("q")[1]}).drop("q")
+
+
 def predictions(comps: DataFrame, as_of: Column, o: PricingOptions = DEFAULTS) -> DataFrame:
-    """One row for each active listing with enough comparables and a positive profit."""
+    """One row for each active listing with enough comparables and a positive profit.
+
+    The comparables are dealt by listing once: quartiles, outliers, median and means all come from that one partitioning.
+    The median is that of all prices within the fences, the rest of those in the price band, if there is one.
+    """
     if o.match_condition:
         comps = comps.where("a_condition = s_condition")
-    with_q = quartiles(comps)
-    cleaned = without_outliers(with_q, o.iqr_multiplier)
-    medians = cleaned.groupBy("active_id").agg(F.percentile("sold_price", F.lit(0.5)).alias("median_price"))
-    banded = cleaned
+    cleaned = without_outliers(with_fences(comps), o.iqr_multiplier)
+    inside = (F.col("ask") > 0) & F.col("sold_price").between(F.col("ask") / o.price_band, F.col("ask") * o.price_band) if o.price_band else F.lit(True)
+    rows = cleaned.withColumn("w", weight(o, as_of)).withColumn("in_band", inside)
     if o.price_band:
-        banded = banded.where((F.col("ask") > 0) & F.col("sold_price").between(F.col("ask") / o.price_band, F.col("ask") * o.price_band))
-    w = weight(o, as_of)
-    mean = F.sum(F.col("sold_price") * w) / F.nullif(F.sum(w), F.lit(0.0))
-    found = banded.groupBy("active_id").agg(
-        F.count("*").alias("n"),
-        mean.alias("mean_price"),
+        rows = rows.withColumns({c: F.when(F.col("in_band"), F.col(c)) for c in ("w", "ended", "confidence", "similarity")}).withColumn("price", F.when(F.col("in_band"), F.col("sold_price")))
+    else:
+        rows = rows.withColumn("price", F.col("sold_price"))
+    found = rows.groupBy("active_id").agg(
+        F.count("price").alias("n"),
+        (F.sum(F.col("price") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean_price"),
         F.first("ask").alias("ask"),
         F.first("shipping").alias("shipping"),
         F.first("job_id").alias("job_id"),
         F.avg(F.datediff("ended", "created")).cast("int").cast("bigint").alias("days_to_sell"),
-        confidence(o).alias("confidence"),
-        (F.first("n") - F.count("*")).alias("outliers_removed"),
+        confidence(o, "price").alias("confidence"),
+        (F.first("n") - F.count("price")).alias("outliers_removed"),
+        F.percentile("sold_price", F.lit(0.5)).alias("median_price"),
     )
     found = found.withColumn("profit", profit(F.col("mean_price"), F.col("ask"), F.col("shipping"), o.fee_percent))
-    return found.where((F.col("n") >= o.min_comps) & (F.col("profit") > 0)).join(medians, "active_id", "left")
+    return found.where((F.col("n") >= o.min_comps) & (F.col("profit") > 0))
 
 
 def interpolated(sorted_prices: Column, p: float) -> Column:
@@ -134,11 +146,20 @@ def latest_sold_price(history: DataFrame) -> DataFrame:
     return history.where("status = 'Sold'").groupBy("listing").agg(F.max_by("price", F.struct("recorded", "history_id")).alias("sold_price"))
 
 
-def comps_of(edges: DataFrame, listings: DataFrame, listing_id: str) -> DataFrame:
-    """Sold listings at the other end of the edges of one listing."""
-    mine = edges.where((F.col("id_a") == listing_id) | (F.col("id_b") == listing_id)).where("is_comparable")
-    other = F.when(F.col("id_a") == listing_id, F.col("id_b")).otherwise(F.col("id_a"))
-    return mine.select(other.alias("listing_id"), "similarity").join(listings.where("status = 'Sold'"), "listing_id")
+def comps_of(edges: DataFrame, listings: DataFrame, one: DataFrame, o: PricingOptions = DEFAULTS) -> DataFrame:
+    """Sold listings at the other end of the edges of one listing (a frame of one row or none), by condition and price band.
+
+    The listing meets the edges as a frame, nothing is fetched while the plan is built.
+    """
+    mine = F.broadcast(one.select(F.col("listing_id").alias("_id"), F.col("condition").alias("_condition"), F.col("price").alias("_ask")))
+    edge = edges.where("is_comparable").join(mine, (F.col("id_a") == F.col("_id")) | (F.col("id_b") == F.col("_id")))
+    other = F.when(F.col("id_a") == F.col("_id"), F.col("id_b")).otherwise(F.col("id_a"))
+    rows = edge.select(other.alias("listing_id"), "similarity", "_condition", "_ask").join(listings.where("status = 'Sold' AND price > 0"), "listing_id")
+    if o.match_condition:
+        rows = rows.where("condition = _condition")
+    if o.price_band:
+        rows = rows.where((F.col("_ask") > 0) & F.col("price").between(F.col("_ask") / o.price_band, F.col("_ask") * o.price_band))
+    return rows.drop("_condition", "_ask")
 
 
 def running_total(rows: DataFrame, order: str, value: str) -> Column:

@@ -137,27 +137,40 @@ def agg_recommended(spark, sf_dir):
 
 @query(
     "jn_latest_sold",
-    """SELECT l.listing, round(coalesce(s.price, l.price), 4) AS price FROM (SELECT listing, max(price) AS price FROM history GROUP BY 1) l LEFT JOIN
+    """SELECT l.listing, round(coalesce(s.price, l.price), 4) AS price FROM (SELECT user_id AS listing, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY 1) l LEFT JOIN
     (SELECT listing, price FROM (SELECT *, row_number() OVER (PARTITION BY listing ORDER BY recorded DESC, history_id DESC) AS k FROM history WHERE status = 'Sold') WHERE k = 1) s USING (listing)""",
 )
 def jn_latest_sold(spark, sf_dir):
+    """The last sold price of a listing, else its own price; that of a listing here is the value of its last event."""
     h = M.history(spark, sf_dir)
-    base = h.groupBy("listing").agg(F.max("price").alias("price"))
+    base = M.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("listing")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("price"))
     return rounded(base.join(P.latest_sold_price(h), "listing", "left").select("listing", F.coalesce("sold_price", "price").alias("price")))
 
 
-_ONE = "(SELECT min(listing_id) FROM listings WHERE status = 'Active' AND part_id = 7)"
+#: The listing that the single-listing queries price: the first active one with a price among those of part 7.
+_ONE = "(SELECT * FROM listings WHERE status = 'Active' AND part_id = 7 AND price IS NOT NULL ORDER BY listing_id LIMIT 1)"
+_ONE_COMPS = f"""SELECT l.listing_id, l.condition, round(l.price, 4) AS price, round(e.similarity, 4) AS similarity FROM {_ONE} o
+    JOIN edges e ON is_comparable AND (id_a = o.listing_id OR id_b = o.listing_id) JOIN listings l ON l.listing_id = CASE WHEN id_a = o.listing_id THEN id_b ELSE id_a END
+    WHERE l.status = 'Sold' AND l.price > 0"""
 
 
-@query(
-    "jn_one_comps",
-    f"""SELECT l.listing_id, l.condition, round(l.price, 4) AS price, round(e.similarity, 4) AS similarity FROM (SELECT CASE WHEN id_a = {_ONE} THEN id_b ELSE id_a END AS other, similarity
-    FROM edges WHERE is_comparable AND (id_a = {_ONE} OR id_b = {_ONE})) e JOIN listings l ON l.listing_id = e.other WHERE l.status = 'Sold'""",
-)
+def _one_comps(spark, sf_dir, o=P.DEFAULTS):
+    """Listings and edges of the listing's part are all that its edges can meet, so the filter goes below their joins."""
+    part = F.col("part_id") == 7
+    rows = M.listings(spark, sf_dir).where(part)
+    one = rows.where("status = 'Active' AND price IS NOT NULL").orderBy("listing_id").limit(1)
+    found = P.comps_of(M.edges(spark, sf_dir, part), rows, one, o)
+    return rounded(found.select("listing_id", "condition", "price", "similarity"))
+
+
+@query("jn_one_comps", _ONE_COMPS)
 def jn_one_comps(spark, sf_dir):
-    rows = M.listings(spark, sf_dir)
-    one = rows.where("status = 'Active' AND part_id = 7").agg(F.min("listing_id")).first()[0] or ""
-    return rounded(P.comps_of(M.edges(spark, sf_dir), rows, one).select("listing_id", "condition", "price", "similarity"))
+    return _one_comps(spark, sf_dir)
+
+
+@query("jn_one_comps_filtered", _ONE_COMPS + " AND l.condition = o.condition AND o.price > 0 AND l.price BETWEEN o.price / 2 AND o.price * 2")
+def jn_one_comps_filtered(spark, sf_dir):
+    return _one_comps(spark, sf_dir, P.PricingOptions(match_condition=True, price_band=2.0))
 
 
 @query(

@@ -147,9 +147,10 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected comparable edges, id_a < id_b, from active and sold listings of one part."""
-    rows = listings(spark, sf_dir).select("listing_id", "part_id", "ord", "status")
+def edges(spark: SparkSession, sf_dir: str, of: Column | None = None) -> DataFrame:
+    """Undirected comparable edges, id_a < id_b, from active and sold listings of one part; `of` picks listings."""
+    rows = listings(spark, sf_dir)
+    rows = (rows if of is None else rows.where(of)).select("listing_id", "part_id", "ord", "status")
     a = rows.where("status = 'Active'").select("part_id", F.col("listing_id").alias("a_id"), F.col("ord").alias("a"))
     s = rows.where("status = 'Sold'").select("part_id", F.col("listing_id").alias("s_id"), F.col("ord").alias("s"))
     x, y = F.col("a"), F.col("s")
