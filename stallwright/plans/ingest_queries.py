@@ -246,35 +246,53 @@ def inc_desc_status(spark, sf_dir):
     return M.listings(spark, sf_dir).groupBy(s.alias("status")).agg(F.count("*").alias("n"))
 
 
-def _streamed(spark, sf_dir, build, name: str, mode: str = "append"):
-    """Runs a stream over the events to its end, some files at a time, and returns what it wrote."""
-    path = _folder(spark, name)
-    src = M.history(spark, sf_dir).withColumn("recorded", F.col("recorded").cast("timestamp"))
-    src.repartitionByRange(4, "recorded").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-    build(stream).writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+#: Slices of time in which the streams below get the events, and files of a slice.
+SLICES, FILES = 4, 2
+
 
+def _streamed(spark, sf_dir, build, name: str, twice: bool = False):
+    """Runs a stream over the events to its end, a slice of time for each micro-batch, and returns what it wrote.
 
-@query("inc_status_stream")
+    A slice's files hold its rows in no order. The last micro-batch is a heartbeat long after the last event, with
+    which everything that waits for the watermark comes out.
+    """
+    path = _folder(spark, name)
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("recorded").cast("timestamp_ntz"))
+    src = M.history(spark, sf_dir).withColumn("recorded", F.timestamp_micros(micros))
+    low, high = src.agg(F.min(F.unix_micros("recorded")), F.max(F.unix_micros("recorded"))).first()
+    for k in range(SLICES if low is not None else 0):
+        at = F.floor((F.unix_micros("recorded") - low) * SLICES / F.lit(float(max(1, high - low))))
+        part = src.where(F.least(at, F.lit(SLICES - 1)) == k)
+        (part.unionByName(part) if twice else part).repartition(FILES).write.mode("append").parquet(f"{path}/in")
+    beat = spark.range(1).select(*(F.lit(None).cast(kind).alias(c) for c, kind in src.dtypes if c != "recorded"), F.timestamp_micros(F.lit(high or 0) + 10**13).alias("recorded"))
+    beat.select(*src.columns).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", FILES).parquet(f"{path}/in")
+    out = build(stream)
+    out.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query("inc_status_stream", f"SELECT history_id, listing, before AS old_status, status FROM {_LAG.format('status')} WHERE k = 1 OR before IS DISTINCT FROM status")
 def inc_status_stream(spark, sf_dir):
     from ..streaming.status import status_changes
 
     return _streamed(spark, sf_dir, status_changes, "status")
 
 
-@query("inc_backpressure")
+@query("inc_backpressure", "SELECT CAST(recorded AS DATE) AS day, status, count(*) AS n FROM history GROUP BY 1, 2")
 def inc_backpressure(spark, sf_dir):
     from ..streaming.status import counts_by_window
 
-    return _streamed(spark, sf_dir, counts_by_window, "counts")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros("start") / 86_400_000_000).cast("int"))
+    return _streamed(spark, sf_dir, counts_by_window, "counts").select(day.alias("day"), "status", "n")
 
 
-@query("inc_dedupe_stream")
+@query("inc_dedupe_stream", "SELECT history_id, listing, status FROM history")
 def inc_dedupe_stream(spark, sf_dir):
+    """Every event is sent twice."""
     from ..streaming.status import deduplicated
 
-    return _streamed(spark, sf_dir, deduplicated, "dedupe")
+    return _streamed(spark, sf_dir, deduplicated, "dedupe", twice=True).select("history_id", "listing", "status")
 
 
 # ---- samples

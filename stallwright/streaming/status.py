@@ -1,7 +1,11 @@
-"""Streaming variants: status changes of listings, deduplicated events, windowed counts."""
+"""Streaming variants: status changes of listings, deduplicated events, windowed counts.
+
+Rows without a listing are heartbeats: they move the watermark on and come out nowhere.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,38 +13,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-CHANGES = "listing bigint, recorded timestamp, old_status string, status string"
+CHANGES = "history_id bigint, listing bigint, old_status string, status string"
 
 
-def status_changes(stream: DataFrame) -> DataFrame:
-    """Emits an entry when the status of a listing differs from the last one seen; the state is that status.
+def status_changes(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """An entry where the status of a listing differs from the one before; the first entry has no old status.
 
-    A micro-batch is taken in the order of `recorded`; entries older than the last one of their listing are late and
-    change nothing.
+    Entries wait in the state until the watermark has passed them and then are taken in the order of `recorded` and
+    history_id, so the order in which they arrive doesn't matter as long as none is later than `late`. The state is
+    the last status taken and the entries that wait.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["recorded", "history_id"])
-        out = []
-        for r in rows.itertuples():
-            at = int(r.recorded.value)
-            if at < seen:
-                continue
-            if r.status != last:
-                out.append((key[0], r.recorded, last, r.status))
-            last, seen = r.status, at
-        state.update((last, seen))
-        yield pd.DataFrame(out, columns=["listing", "recorded", "old_status", "status"])
-
-    return stream.groupBy("listing").applyInPandasWithState(step, CHANGES, "status string, seen bigint", "append", GroupStateTimeout.NoTimeout)
+        heartbeat = pd.isna(key[0])
+        last, waiting = json.loads(state.get[0]) if state.exists else (None, [])
+        for rows in batches if not state.hasTimedOut else ():
+            waiting += [] if heartbeat else [[int(r.recorded.value), int(r.history_id), r.status] for r in rows.itertuples()]
+        passed, out = state.getCurrentWatermarkMs(), []
+        waiting.sort()
+        ready = [x for x in waiting if x[0] // 1_000_000 < passed]
+        for _, entry, status in ready:
+            if last is None or status != last[0]:
+                out.append((entry, key[0], None if last is None else last[0], status))
+            last = [status]
+        waiting = waiting[len(ready) :]
+        if not heartbeat:
+            state.update((json.dumps([last, waiting]),))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1_000_000, passed + 1))
+        yield pd.DataFrame(out, columns=["history_id", "listing", "old_status", "status"])
+
+    rows = stream.withWatermark("recorded", late).select("listing", "recorded", "history_id", "status")
+    return rows.groupBy("listing").applyInPandasWithState(step, CHANGES, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def deduplicated(stream: DataFrame, key: str = "history_id", late: str = "1 day") -> DataFrame:
-    return stream.withWatermark("recorded", late).dropDuplicatesWithinWatermark([key])
+    return stream.withWatermark("recorded", late).dropDuplicatesWithinWatermark([key]).where("listing IS NOT NULL")
 
 
 def counts_by_window(stream: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Entries for each status and window, emitted when the watermark has passed."""
-    w = stream.withWatermark("recorded", late).groupBy(F.window("recorded", width), "status").agg(F.count("*").alias("n"))
-    return w.select(F.col("window.start").alias("start"), "status", "n")
+    w = stream.withWatermark("recorded", late).groupBy(F.window("recorded", width), "status").agg(F.count("listing").alias("n"))
+    return w.select(F.col("window.start").alias("start"), "status", "n").where("n > 0")
