@@ -54,9 +54,24 @@ def description_status(fetched: Column, text: Column) -> Column:
 
 
 def replace_table(df: DataFrame, path: str) -> DataFrame:
-    """Full replace: written beside the old table, then read from there; the caller drops the old path."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Full replace: written beside the old table, then renamed into its place; a failed write leaves the old table.
+
+    `df` may read the old table. Between the two renames no table is at the path; the old one is then at path + ".old".
+    """
+    spark, new, old = df.sparkSession, f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").parquet(new)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(at(old), True)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(at(new), at(path)):
+        fs.rename(at(old), at(path))
+        raise OSError(f"cannot move {new}")
+    fs.delete(at(old), True)
+    spark.catalog.refreshByPath(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def replace_keys(df: DataFrame, path: str, key: str) -> DataFrame:
@@ -89,13 +104,17 @@ def batch_output(lines: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Vectors by id as a Parquet table: upsert keeps the last, remove, contains."""
+    """Vectors by id as a Parquet table: upsert, remove, contains.
+
+    Upsert replaces known ids and keeps one row of each new id: of repeated ones the one with the largest vector.
+    """
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
 
     def upsert(self, rows: DataFrame) -> Index:
-        return Index(self.rows.join(rows, "id", "left_anti").unionByName(rows))
+        once = rows.groupBy("id").agg(F.max(F.struct(*(c for c in rows.columns if c != "id"))).alias("_r")).select("id", "_r.*")
+        return Index(self.rows.join(once, "id", "left_anti").unionByName(once))
 
     def remove(self, ids: DataFrame) -> Index:
         return Index(self.rows.join(ids, "id", "left_anti"))

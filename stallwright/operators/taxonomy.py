@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ngram_tokens, ngrams, resolved_substring
+from ..functions.text import ngram_tokens, ngrams, resolved_substring, tokens
+from ..store import saved
 
 #: Words that are no variant values (fixed values).
 GENERIC = ("with", "free", "all", "day", "next", "del", "count", "brand")
@@ -42,6 +43,8 @@ class TaxonomyOptions:
     prune_small: float = 0.20
     large_axis: int = 5
     outlier_cosine: float = 0.30
+    synonym_cosine: float = 0.80
+    title_cosine: float = 0.60
 
 
 DEFAULTS = TaxonomyOptions()
@@ -52,12 +55,31 @@ def distinct_titles(titles: DataFrame) -> DataFrame:
 
     Many listings share a title; n-grams and pairs are worked out once for each.
     """
-    return titles.groupBy("job_id", "title").agg(F.count("*").alias("weight"), F.min("listing_id").alias("listing_id"))
+    more = [c for c in ("search_term",) if c in titles.columns]
+    return titles.groupBy("job_id", "title", *more).agg(F.count("*").alias("weight"), F.min("listing_id").alias("listing_id"))
+
+
+def decontaminated(titles: DataFrame, brands: tuple[str, ...], o: TaxonomyOptions = DEFAULTS) -> DataFrame:
+    """Titles with at least one of the tokens whose embedding is near that of their search term; ids stay as they were."""
+
+    @F.pandas_udf("double")
+    def cosine(title: pd.Series, term: pd.Series) -> pd.Series:
+        known: dict[str, np.ndarray] = {}
+        return pd.Series([float(embed(a.lower()) @ known.setdefault(b, embed(b.lower()))) for a, b in zip(title, term)])
+
+    some = titles.where(F.arrays_overlap(tokens(F.col("title")), F.array(*(F.lit(b) for b in brands))))
+    return some.where(cosine("title", "search_term") >= o.title_cosine)
 
 
 def extract_ngrams(titles: DataFrame, o: TaxonomyOptions = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """Kept n-grams (job_id, g, df) and their matches (job_id, g, listing_id, weight) of distinct titles."""
-    rows = titles.select("job_id", "listing_id", "weight", F.explode(F.array_distinct(ngrams(ngram_tokens(F.col("title"))))).alias("g"))
+    """Kept n-grams (job_id, g, df) and their matches (job_id, g, listing_id, weight) of distinct titles.
+
+    With a column search_term, its words count as none: the words beside them are neighbours.
+    """
+    words = ngram_tokens(F.col("title"))
+    if "search_term" in titles.columns:
+        words = F.filter(words, lambda w: ~F.array_contains(ngram_tokens(F.col("search_term")), w))
+    rows = titles.select("job_id", "listing_id", "weight", F.explode(F.array_distinct(ngrams(words))).alias("g"))
     n = titles.groupBy("job_id").agg(F.sum("weight").alias("n"))
     floor = F.greatest(F.when(F.contains(F.col("g"), F.lit(" ")), o.min_ngram).otherwise(o.min_unigram), F.expr(f"n div {o.divisor}"))
     kept = rows.groupBy("job_id", "g").agg(F.sum("weight").alias("df")).join(F.broadcast(n), "job_id").where(F.col("df") >= floor)
@@ -158,32 +180,58 @@ def union_find(n: int, links: list[tuple[int, int]]) -> list[int]:
     return [first.setdefault(top(x), len(first)) for x in range(n)]
 
 
-def merge_synonyms(grams: list[str], freq: list[int], threshold: float = 0.80) -> list[tuple[str, int]]:
-    """Components of similar n-grams that are no numeric variants: the most frequent form, with the summed frequency."""
+Group = tuple[str, int, list[str]]
+
+
+def synonym_groups(grams: list[str], freq: list[int], threshold: float = 0.80) -> list[Group]:
+    """Components of similar n-grams that are no numeric variants: the most frequent form, summed frequency, all forms."""
     import re
 
-    e = np.array([embed(g) for g in grams])
-    near = e @ e.T >= threshold if len(grams) else np.zeros((0, 0))
+    e = np.array([embed(g) for g in grams]).reshape(len(grams), -1)
+    near = np.argwhere(np.triu(e @ e.T >= threshold, 1)) if len(grams) else []
     form = [(re.sub(r"\d+", "#", g), re.findall(r"\d+", g)) for g in grams]
-    links = [(i, j) for i in range(len(grams)) for j in range(i + 1, len(grams)) if near[i, j] and not (form[i][0] == form[j][0] and "#" in form[i][0] and form[i][1] != form[j][1])]
+    links = [(i, j) for i, j in near if not (form[i][0] == form[j][0] and "#" in form[i][0] and form[i][1] != form[j][1])]
     comp: dict[int, list[int]] = {}
     for k, c in enumerate(union_find(len(grams), links)):
         comp.setdefault(c, []).append(k)
-    return [(grams[min(ks, key=lambda k: (-freq[k], grams[k]))], sum(freq[k] for k in ks)) for ks in comp.values()]
+    return [(grams[min(ks, key=lambda k: (-freq[k], grams[k]))], sum(freq[k] for k in ks), [grams[k] for k in ks]) for ks in comp.values()]
 
 
-def subsume(grams: list[tuple[str, int]], threshold: float = 0.80) -> list[tuple[str, int]]:
+def merge_synonyms(grams: list[str], freq: list[int], threshold: float = 0.80) -> list[tuple[str, int]]:
+    return [(g, f) for g, f, _ in synonym_groups(grams, freq, threshold)]
+
+
+def subsumed(groups: list[Group], threshold: float = 0.80) -> list[Group]:
     """Fewer words (at least two) absorb longer n-grams that contain them and are similar, greedily in order."""
-    out: list[list] = []
-    for g, f in sorted(grams, key=lambda x: (len(x[0].split()), -x[1], x[0])):
-        for kept in out:
-            short = set(kept[0].split())
-            if 2 <= len(short) < len(g.split()) and short <= set(g.split()) and embed(kept[0]) @ embed(g) >= threshold:
-                kept[1] += f
+    out: list[Group] = []
+    for g, f, forms in sorted(groups, key=lambda x: (len(x[0].split()), -x[1], x[0])):
+        words = set(g.split())
+        for k, (kept, n, have) in enumerate(out):
+            short = set(kept.split())
+            if 2 <= len(short) < len(words) and short <= words and embed(kept) @ embed(g) >= threshold:
+                out[k] = (kept, n + f, have + forms)
                 break
         else:
-            out.append([g, f])
-    return [tuple(x) for x in out]
+            out.append((g, f, list(forms)))
+    return out
+
+
+def subsume(grams: list[tuple[str, int]], threshold: float = 0.80) -> list[tuple[str, int]]:
+    return [(g, f) for g, f, _ in subsumed([(g, f, [g]) for g, f in grams], threshold)]
+
+
+def canonical(kept: DataFrame, o: TaxonomyOptions = DEFAULTS) -> DataFrame:
+    """(job_id, form, g): the n-gram that stands for each kept one after merging synonyms and absorbing longer ones.
+
+    The kept n-grams of a job pass its frequency floors, so they are some hundreds whatever its listings.
+    """
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("g")
+        groups = subsumed(synonym_groups(pdf.g.tolist(), pdf["df"].astype(int).tolist(), o.synonym_cosine), o.synonym_cosine)
+        return pd.DataFrame([(key[0], form, g) for g, _, forms in groups for form in forms], columns=["job_id", "form", "g"])
+
+    return kept.select("job_id", "g", "df").groupBy("job_id").applyInPandas(one, "job_id bigint, form string, g string")
 
 
 class Overlaps:
@@ -354,8 +402,9 @@ def build_axes(values: pd.DataFrame, pairs: pd.DataFrame, o: TaxonomyOptions = D
     for k, c in enumerate(louvain(len(chosen), edges, o.resolution)):
         groups.setdefault(c, []).append(grams[chosen[k]])
     axes = [g for g in groups.values() if len(g) >= 2]
-    axes = dedupe_embed(dedupe_overlap(drop_generic(axes), s, o.dedupe_overlap), o.dedupe_cosine)
-    return unify(enforce_exclusive(prune_overlap(axes, s, o), s, o.exclusivity), s, o)
+    axes = dedupe_embed(dedupe_overlap(axes, s, o.dedupe_overlap), o.dedupe_cosine)
+    axes = enforce_exclusive(prune_overlap(axes, s, o), s, o.exclusivity)
+    return unify(drop_outliers(drop_generic(axes), o.outlier_cosine), s, o)
 
 
 def by_job(sets: DataFrame, pairs: DataFrame):
@@ -390,12 +439,21 @@ def assign_cells(titles: DataFrame, axes: DataFrame, matches: DataFrame) -> Data
     return titles.select("job_id", "listing_id").join(cells, ["job_id", "listing_id"], "left").withColumn("has_conflict", F.coalesce("has_conflict", F.lit(False)))
 
 
-def run(titles: DataFrame, o: TaxonomyOptions = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """Axes of all jobs, and the assignment of every listing (job_id, listing_id, cell, has_conflict)."""
-    kinds = distinct_titles(titles)
+def run(titles: DataFrame, o: TaxonomyOptions = DEFAULTS, brands: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Axes of all jobs, and the assignment of every title that stays (job_id, listing_id, cell, has_conflict).
+
+    Decontamination (with brand tokens), n-grams without the words of the search term, synonyms, absorbed n-grams,
+    match sets, exclusive pairs, communities, post-processing, assignment. A title matches an n-gram if it has any of
+    the forms that the n-gram stands for. Distinct titles and matches are written once and read by all that follows.
+    """
+    titles = decontaminated(titles, brands, o) if brands else titles
+    kinds = saved(distinct_titles(titles), "titles")
     kept, matches = extract_ngrams(kinds, o)
-    matches = longest_matches(kept, matches)
+    kept = saved(kept, "ngrams")
+    forms = F.broadcast(canonical(kept, o))
+    matches = matches.withColumnRenamed("g", "form").join(forms, ["job_id", "form"]).groupBy("job_id", "listing_id", "g").agg(F.first("weight").alias("weight"))
+    matches = saved(longest_matches(matches.select("job_id", "g").distinct(), matches), "matches")
     sets = significant(matches, kinds, o)
-    axes = axes_of_jobs(sets, pair_counts(matches), o)
+    axes = saved(axes_of_jobs(sets, pair_counts(matches), o), "axes")
     cells = assign_cells(kinds, axes, matches).join(kinds.select("job_id", "listing_id", "title"), ["job_id", "listing_id"]).drop("listing_id")
     return axes, titles.select("job_id", "listing_id", "title").join(cells, ["job_id", "title"]).drop("title")

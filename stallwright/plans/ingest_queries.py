@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,15 +13,10 @@ from ..registry import query
 from ..sources import html as H
 from ..sources import mapping as M
 from ..sources.mapping import rnd
+from ..store import folder
 from .pricing_queries import rounded
 
 
-def _folder(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- pages
 
 
@@ -73,14 +66,14 @@ def str_evidence(spark, sf_dir):
 
 @query("src_csv", "SELECT item_id, text FROM benchmark")
 def src_csv(spark, sf_dir):
-    path = _folder(spark, "csv")
+    path = folder(spark, "csv")
     I.write_csv(M.read(spark, sf_dir, "benchmark").select("item_id", "text"), path)
     return I.read_csv(spark, path, "item_id bigint, text string")
 
 
 @query("snk_csv", "SELECT pair_id, a, b FROM pairs")
 def snk_csv(spark, sf_dir):
-    path = _folder(spark, "csv")
+    path = folder(spark, "csv")
     I.write_csv(M.pairs(spark, sf_dir).select("pair_id", "a", "b"), path)
     return I.read_csv(spark, path, "pair_id bigint, a string, b string")
 
@@ -96,14 +89,14 @@ def src_jsonl(spark, sf_dir):
 
 @query("snk_jsonl", "SELECT pair_id, a FROM pairs")
 def snk_jsonl(spark, sf_dir):
-    path = _folder(spark, "jsonl")
+    path = folder(spark, "jsonl")
     I.write_jsonl(M.pairs(spark, sf_dir).select("pair_id", "a"), path, 50)
     return spark.read.schema("pair_id bigint, a string").json(path)
 
 
 @query("snk_replace", "SELECT status, count(*) AS n FROM listings GROUP BY 1")
 def snk_replace(spark, sf_dir):
-    path = _folder(spark, "table")
+    path = folder(spark, "table")
     counts = M.listings(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
     I.replace_table(counts.withColumn("n", F.lit(0).cast("bigint")), path)
     return I.replace_table(counts, path)
@@ -111,7 +104,7 @@ def snk_replace(spark, sf_dir):
 
 @query("snk_replace_key", "SELECT part_id, CASE WHEN job_id = 3 THEN 0 ELSE count(*) END AS n, job_id FROM listings GROUP BY 1, job_id")
 def snk_replace_key(spark, sf_dir):
-    path = _folder(spark, "table")
+    path = folder(spark, "table")
     counts = M.listings(spark, sf_dir).groupBy("part_id", "job_id").agg(F.count("*").alias("n"))
     I.replace_keys(counts, path, "job_id")
     out = I.replace_keys(counts.where("job_id = 3").withColumn("n", F.lit(0).cast("bigint")), path, "job_id")
@@ -149,7 +142,7 @@ def snk_delete(spark, sf_dir):
 @query("snk_index", "SELECT vec_id AS id, vec_id % 3 <> 0 AND vec_id < 400 AS found FROM embeddings")
 def snk_index(spark, sf_dir):
     v = M.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    path = _folder(spark, "index")
+    path = folder(spark, "index")
     I.Index(v.where("id < 300")).upsert(v.where("id BETWEEN 200 AND 399")).remove(v.where("id % 3 = 0").select("id")).save(path)
     return I.Index.load(spark, path).contains(v.select("id"))
 
@@ -256,7 +249,7 @@ def _streamed(spark, sf_dir, build, name: str, twice: bool = False):
     A slice's files hold its rows in no order. The last micro-batch is a heartbeat long after the last event, with
     which everything that waits for the watermark comes out.
     """
-    path = _folder(spark, name)
+    path = folder(spark, name)
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("recorded").cast("timestamp_ntz"))
     src = M.history(spark, sf_dir).withColumn("recorded", F.timestamp_micros(micros))
     low, high = src.agg(F.min(F.unix_micros("recorded")), F.max(F.unix_micros("recorded"))).first()

@@ -11,14 +11,18 @@ from ..functions import text as X
 from ..operators import clustering as G
 from ..operators import taxonomy as T
 from ..operators import vectors as V
+from ..operators.graph import components
 from ..registry import query
 from ..sources import mapping as M
 from ..sources.mapping import rnd
+from ..store import saved
 from .pricing_queries import rounded
 from .text_queries import _NG
 
 #: Lower floors, so that the small samples have axes too.
 O = T.TaxonomyOptions(min_unigram=10, min_ngram=5)
+#: For whole runs also lower floors of cosines: the stand-in embedding knows letters, not meaning.
+RUN = T.TaxonomyOptions(min_unigram=10, min_ngram=5, outlier_cosine=0.02, title_cosine=0.05)
 
 
 def titles(spark, sf_dir):
@@ -32,9 +36,10 @@ _EXCL = f"{_SETS}, pc AS (SELECT x.job_id, x.g AS a, y.g AS b, count(*) AS commo
 
 
 def _parts(spark, sf_dir):
-    t = T.distinct_titles(titles(spark, sf_dir))
+    """Distinct titles, n-grams, matches and significant sets; titles and matches are worked out once."""
+    t = saved(T.distinct_titles(titles(spark, sf_dir)), "titles")
     kept, matches = T.extract_ngrams(t, O)
-    matches = T.longest_matches(kept, matches)
+    matches = saved(T.longest_matches(kept, matches), "matches")
     return t, kept, matches, T.significant(matches, t, O)
 
 
@@ -94,10 +99,23 @@ def axis_build(spark, sf_dir):
     return _axes(spark, sf_dir)[2]
 
 
+def _run(spark, sf_dir):
+    """The whole run: titles that share no token with their job's part names, or are unlike its search term, are left out."""
+    terms = M.jobs(spark, sf_dir).select("job_id", "search_term")
+    rows = titles(spark, sf_dir).join(F.broadcast(terms), "job_id")
+    return T.run(rows, RUN, brands=("red", "blue", "green", "small", "large", "hot"))
+
+
 @query("taxonomy_run")
 def taxonomy_run(spark, sf_dir):
-    _, cells = T.run(titles(spark, sf_dir), O)
-    return cells.groupBy("job_id").agg(F.count("*").alias("n"), F.count("cell").alias("covered"), F.count_if("has_conflict").alias("conflicts"))
+    _, cells = _run(spark, sf_dir)
+    n, covered, conflicts = F.count("*"), F.count("cell"), F.count_if("has_conflict")
+    return cells.groupBy("job_id").agg(n.alias("n"), covered.alias("covered"), conflicts.alias("conflicts"), rnd(100 * covered / n, 3).alias("coverage"), rnd(100 * conflicts / n, 3).alias("conflict_share"))
+
+
+@query("taxonomy_axes")
+def taxonomy_axes(spark, sf_dir):
+    return _run(spark, sf_dir)[0]
 
 
 def _stage(name, step):
@@ -152,7 +170,8 @@ def _fixed(spark):
 
 @query(
     "assign_cells",
-    f"""WITH h AS (SELECT listing_id, axis, label FROM titles, {_FIXED} WHERE CASE WHEN contains(label, ' ') THEN contains(lower(title), label) ELSE regexp_matches(lower(title), '(^|[^\\p{{L}}\\p{{Nd}}])' || label || '($|[^\\p{{L}}\\p{{Nd}}])') END),
+    f"""WITH t AS (SELECT listing_id, lower(title) AS whole, ' ' || regexp_replace(lower(title), '[^\\p{{L}}\\p{{Nd}}]', ' ', 'g') || ' ' AS padded FROM titles),
+    h AS (SELECT listing_id, axis, label FROM t, {_FIXED} WHERE CASE WHEN contains(label, ' ') THEN contains(whole, label) ELSE contains(padded, ' ' || label || ' ') END),
     v AS (SELECT listing_id, axis, list_sort(list(label)) AS v FROM h GROUP BY 1, 2), r AS (SELECT *, list_filter(v, lambda x: len(list_filter(v, lambda o: contains(x, o))) = len(v))[1] AS best FROM v)
     SELECT listing_id, string_agg(axis || '=' || coalesce(best, v[1]), ';' ORDER BY axis) AS cell, bool_or(best IS NULL) AS has_conflict FROM r GROUP BY 1""",
 )
@@ -232,19 +251,9 @@ def community_score(spark, sf_dir):
 
 @query("union_find", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 50 * 50 + p_partkey * 3 % 50 AS b FROM part), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e), r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, min(b) AS root FROM r GROUP BY 1")
 def union_find(spark, sf_dir):
+    """Components over one graph of all parts."""
     block = F.expr("p_partkey div 50")
-    e = M.read(spark, sf_dir, "part").select(block.alias("block"), F.col("p_partkey").alias("a"), (block * 50 + F.col("p_partkey") * 3 % 50).alias("b"))
-
-    def one(key, pdf):
-        nodes = sorted({*pdf.a, *pdf.b})
-        at = {v: k for k, v in enumerate(nodes)}
-        comp = T.union_find(len(nodes), [(at[a], at[b]) for a, b in zip(pdf.a, pdf.b)])
-        root = {}
-        for v, c in zip(nodes, comp):
-            root.setdefault(c, v)
-        return pd.DataFrame({"node": nodes, "root": [root[c] for c in comp]})
-
-    return e.groupBy("block").applyInPandas(one, "node bigint, root bigint")
+    return components(M.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), (block * 50 + F.col("p_partkey") * 3 % 50).alias("b")))
 
 
 @query("cc_bfs")

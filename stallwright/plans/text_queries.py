@@ -87,13 +87,19 @@ def str_termfreq(spark, sf_dir):
     return kind_ngrams(spark, sf_dir, False).groupBy("job_id", "g").agg(F.sum("weight").alias("tf")).where("tf >= 10")
 
 
-@query("str_match", "SELECT p, count(*) AS n FROM titles, (VALUES ('red'), ('ring'), ('red widget'), ('small'), ('1')) v(p) WHERE CASE WHEN contains(p, ' ') THEN contains(lower(title), p) ELSE regexp_matches(lower(title), '(^|[^\\p{L}\\p{Nd}])' || p || '($|[^\\p{L}\\p{Nd}])') END GROUP BY 1")
+def _matches_sql(patterns, outside: str) -> str:
+    """Counts of titles with each pattern, one constant regex for each."""
+    each = (f"SELECT '{p}' AS p, count(*) AS n FROM titles WHERE " + (f"contains(lower(title), '{p}')" if " " in p and outside == "\\p{L}\\p{Nd}" else f"regexp_matches(lower(title), '(^|[^{outside}]){p}($|[^{outside}])')") for p in patterns)
+    return f"SELECT p, n FROM ({' UNION ALL '.join(each)}) WHERE n > 0"
+
+
+@query("str_match", _matches_sql(("red", "ring", "red widget", "small", "1"), "\\p{L}\\p{Nd}"))
 def str_match(spark, sf_dir):
     p = F.explode(F.array(*(F.lit(x) for x in ("red", "ring", "red widget", "small", "1"))))
     return M.titles(spark, sf_dir).select("title", p.alias("p")).where(X.pattern_matches(F.col("p"), F.col("title"))).groupBy("p").agg(F.count("*").alias("n"))
 
 
-@query("str_match_py", "SELECT p, count(*) AS n FROM titles, (VALUES ('red'), ('brand'), ('12')) v(p) WHERE regexp_matches(lower(title), '(^|[^\\p{L}\\p{N}_])' || p || '($|[^\\p{L}\\p{N}_])') GROUP BY 1")
+@query("str_match_py", _matches_sql(("red", "brand", "12"), "\\p{L}\\p{N}_"))
 def str_match_py(spark, sf_dir):
     p = F.explode(F.array(*(F.lit(x) for x in ("red", "brand", "12"))))
     return M.titles(spark, sf_dir).select("title", p.alias("p")).where(X.word_matches(F.col("p"), F.col("title"))).groupBy("p").agg(F.count("*").alias("n"))

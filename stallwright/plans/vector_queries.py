@@ -264,9 +264,9 @@ def set_weighted_jaccard(spark, sf_dir):
     return both.crossJoin(last).where("a >= 0 AND a < last").groupBy("a").agg(rnd(F.sum(F.least("x", "y")) / F.sum(F.greatest("x", "y")), 5).alias("similarity"))
 
 
-@query("set_canonical", "SELECT DISTINCT least(l_orderkey, l_partkey) AS a, greatest(l_orderkey, l_partkey) AS b FROM lineitem WHERE l_linenumber = 1")
+@query("set_canonical", "SELECT DISTINCT least(l_orderkey, l_partkey) AS a, greatest(l_orderkey, l_partkey) AS b FROM lineitem")
 def set_canonical(spark, sf_dir):
-    return M.read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.least("l_orderkey", "l_partkey").alias("a"), F.greatest("l_orderkey", "l_partkey").alias("b")).distinct()
+    return M.read(spark, sf_dir, "lineitem").select(F.least("l_orderkey", "l_partkey").alias("a"), F.greatest("l_orderkey", "l_partkey").alias("b")).distinct()
 
 
 @query("set_dedupe_pair", "SELECT a, b, k FROM (SELECT least(l_orderkey, l_partkey) AS a, greatest(l_orderkey, l_partkey) AS b, min(l_suppkey) AS k FROM lineitem GROUP BY 1, 2)")

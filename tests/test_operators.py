@@ -72,7 +72,7 @@ def test_axis_steps():
 
 def test_taxonomy_finds_an_axis(spark):
     r = random.Random(1)
-    colours, sizes = ["crimsonish", "crimsonite", "crimsonoid", "crimsonfold"], ["bigsize one", "bigsize two", "bigsize six", "bigsize ten"]
+    colours, sizes = ["crimsonish", "crimsonite", "crimsonoid", "crimsonfold"], ["bigsize seventeen", "bigsize twentyfour", "bigsize thirtyone", "bigsize ninetyfive"]
     rows = [(1, f"l{k}", f"{r.choice(colours)} q{k}q {r.choice(sizes)}") for k in range(400)]
     t = spark.createDataFrame(rows, "job_id bigint, listing_id string, title string")
     axes, assigned = taxonomy.run(t)
@@ -84,6 +84,69 @@ def test_taxonomy_finds_an_axis(spark):
     assert rows[0][2].split()[0] in one.cell.values() and not one.has_conflict
 
 
+def test_synonyms_and_absorbed_ngrams_keep_their_forms():
+    groups = taxonomy.synonym_groups(["wireless pad", "wireless pads", "128gb", "256gb"], [5, 9, 3, 2])
+    assert ("wireless pads", 14, ["wireless pad", "wireless pads"]) in groups and len(groups) == 3  # numeric variants stay apart
+    out = taxonomy.subsumed([("gold plated", 9, ["gold plated"]), ("gold plated x", 4, ["gold plated x"]), ("gold", 20, ["gold"])], threshold=0.7)
+    assert out == [("gold", 20, ["gold"]), ("gold plated", 13, ["gold plated", "gold plated x"])]
+
+
+def test_search_term_and_decontamination(spark):
+    rows = [(1, f"l{k}", "acme pad red" if k % 2 else "acme pad blue", "acme pad") for k in range(60)] + [(1, "x", "other thing", "acme pad")]
+    t = spark.createDataFrame(rows, "job_id bigint, listing_id string, title string, search_term string")
+    kept, _ = taxonomy.extract_ngrams(taxonomy.distinct_titles(t))
+    assert {r.g for r in kept.collect()} == {"red", "blue"}
+    stay = taxonomy.decontaminated(t, ("acme",), taxonomy.TaxonomyOptions(title_cosine=0.3))
+    assert stay.columns == t.columns and sorted(r.listing_id for r in stay.collect()) == sorted(f"l{k}" for k in range(60))
+
+
+def test_components_of_one_graph(spark):
+    from stallwright.operators.graph import components
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 51), (60, 60), (51, 40)], "a bigint, b bigint")
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {**dict.fromkeys(range(31), 0), 40: 40, 50: 40, 51: 40, 60: 60}
+    assert components(links.limit(0)).count() == 0
+
+
+def test_replace_keeps_the_old_table_when_the_write_fails(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stallwright.operators import ingest
+
+    path = f"file://{tmp_path}/table"
+    ingest.replace_table(spark.range(3), path)
+    again = ingest.replace_table(spark.read.parquet(path).withColumn("id", F.col("id") + 10), path)  # reads the old one
+    assert sorted(r.id for r in again.collect()) == [10, 11, 12]
+    with pytest.raises(Exception, match="broken"):
+        ingest.replace_table(spark.range(3).select(F.raise_error(F.lit("broken")).cast("bigint").alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_index_upsert_keeps_one_row_of_an_id(spark):
+    from stallwright.operators import ingest
+
+    old = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id bigint, v array<double>")
+    new = spark.createDataFrame([(2, [3.0]), (4, [1.0]), (4, [5.0]), (4, [5.0])], "id bigint, v array<double>")
+    assert {r.id: r.v for r in ingest.Index(old).upsert(new).rows.collect()} == {1: [1.0], 2: [3.0], 4: [5.0]}
+    assert ingest.Index(old).upsert(new).rows.count() == 3
+
+
+def test_predictions_in_a_price_band(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from stallwright.operators import pricing
+
+    prices = [40.0, 50.0, 60.0, 100.0, 110.0, 120.0]
+    rows = [("a", f"s{k}", 45.0, 0.0, 1, "NEW", "NEW", p, datetime(2020, 1, 1), datetime(2020, 1, 11), 0.9, 0.9) for k, p in enumerate(prices)]
+    comps = spark.createDataFrame(rows, "active_id string, sold_id string, ask double, shipping double, job_id bigint, a_condition string, s_condition string, sold_price double, created timestamp, ended timestamp, similarity double, confidence double")
+    one = pricing.predictions(comps, F.lit(datetime(2020, 1, 11)), pricing.PricingOptions(price_band=2.0, fee_percent=0)).first()
+    assert one.n == 3 and one.outliers_removed == 3 and abs(one.mean_price - 50) < 1e-9 and one.median_price == 80 and one.days_to_sell == 10
+    assert pricing.predictions(comps, F.lit(datetime(2020, 1, 11))).first().n == 6
+
+
 def test_knn_equals_brute_force_in_blocks(spark):
     x = np.random.default_rng(2).normal(size=(60, 8))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id bigint, v array<double>").repartition(5)
