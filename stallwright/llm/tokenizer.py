@@ -9,12 +9,14 @@ import os
 import re
 from collections.abc import Callable
 
+import numpy as np
+
 #: Below U+0250 the two libraries' character classes are the same; other texts, and special tokens, go to `tokenizers`.
 PLAIN = re.compile("[^\x00-ɏ]|<\\|endoftext\\|>")
 
 
 @functools.cache
-def encoder(path: str) -> Callable[[str], list[int]]:
+def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Ids as tokenizers' encode(text, add_special_tokens=False) gives them.
 
     If the file's ranks lie beside it in tiktoken's format, with equal vocabulary, texts of plain characters are
@@ -28,7 +30,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
         return Tokenizer.from_file(path)
 
-    slow = lambda text: whole().encode(text, add_special_tokens=False).ids
+    slow = lambda text: np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
     ranks_at = re.sub(r"\.json$", ".tiktoken", path)
     spec = _spec(path)
     if not (path.endswith(".json") and os.path.exists(ranks_at)) or spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
@@ -36,7 +38,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     import tiktoken
     from public_tokenizers import PATTERN
 
-    fast = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=_ranks(ranks_at), special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=_ranks(ranks_at), special_tokens={}).encode_to_numpy
     return lambda text: slow(text) if PLAIN.search(text) else fast(text)
 
 

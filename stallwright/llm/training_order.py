@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +82,15 @@ def restored(x: np.ndarray, size: int, keys: list[int]) -> np.ndarray:
     return out
 
 
+SLOT_BITS, _FULL = 20, (1 << 64) - 1
+
+
+def _codes(eight: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for up to eight bytes and their count, of which few share their upper bits; each step can be undone."""
+    x = (eight ^ (sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
 class Cuts:
     """The tokens of a task's texts as a file of one bit for each byte, set where a token ends; a sixth of the ids' size."""
 
@@ -89,6 +99,11 @@ class Cuts:
         for token, k in known.items():
             self.size[k] = len(token)
         self.fs, self.at = filesystem(path)
+        short = [t for t in known if len(t) <= 8]
+        codes = _codes(np.array([int.from_bytes(t, "little") for t in short], np.uint64), np.array([len(t) for t in short]))
+        self.ids = np.array([known[t] for t in short], np.uint32)
+        self.codes, self.slots = codes, np.zeros(1 << SLOT_BITS, np.int32)
+        self.slots[codes >> np.uint64(64 - SLOT_BITS)] = np.arange(len(short))
 
     def open_output(self) -> None:
         self.fs.create_dir(self.at.rsplit("/", 1)[0], recursive=True)
@@ -108,7 +123,7 @@ class Cuts:
     def open_input(self) -> None:
         self.file, self.unpacker, self.rest = self.fs.open_input_stream(self.at, compression=None), zlib.decompressobj(), b""
 
-    def get(self, raw: bytes) -> list[int]:
+    def get(self, raw: bytes) -> np.ndarray:
         """Ids of the next text; fails if the text isn't the one that was put."""
         n = -(-len(raw) // 8)
         while len(self.rest) < n:
@@ -116,12 +131,23 @@ class Cuts:
             if not data:
                 raise ValueError("the input changed between the passes over it")
             self.rest += self.unpacker.decompress(data)
-        ends = (np.flatnonzero(np.unpackbits(np.frombuffer(self.rest[:n], np.uint8))) + 1).tolist()
+        ends = np.flatnonzero(np.unpackbits(np.frombuffer(self.rest[:n], np.uint8))) + 1
         self.rest = self.rest[n:]
+        if len(raw) != (ends[-1] if len(ends) else 0):
+            raise ValueError("the input changed between the passes over it")
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+        sizes = ends - starts
+        eight = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))[starts]
+        few = np.minimum(sizes, 8)
+        codes = _codes(eight & (np.uint64(_FULL) >> (np.uint64(64) - few.astype(np.uint64) * np.uint64(8))), few)
+        at = self.slots[codes >> np.uint64(64 - SLOT_BITS)]
+        out = self.ids[at]
         try:
-            return [self.known[raw[a:b]] for a, b in zip([0, *ends], ends)]
+            for k in np.flatnonzero((self.codes[at] != codes) | (sizes > 8)).tolist():
+                out[k] = self.known[raw[starts[k] : ends[k]]]
         except KeyError:
             raise ValueError("the input changed between the passes over it") from None
+        return out
 
 
 def numbered(rows: DataFrame, tokenizer_path: str, folder: str, length: int) -> list[tuple[int, str | None, int]]:
@@ -138,7 +164,7 @@ def numbered(rows: DataFrame, tokenizer_path: str, folder: str, length: int) ->
                 ids = encode(t.as_py() or "")
                 n += len(ids) // length + 1
                 if cuts:
-                    cuts.put((t.as_py() or "").encode(), np.asarray(ids, np.int64))
+                    cuts.put((t.as_py() or "").encode(), ids)
         if cuts:
             cuts.close_output()
         yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([name], pa.string()), pa.array([n], pa.int64())], names=["task", "file", "n"])
@@ -159,7 +185,7 @@ def materialise(docs: DataFrame, tokenizer_path: str, folder: str, *, length: in
     shipped = spark.sparkContext.broadcast(ranges)
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = encoder(tokenizer_path), token_bytes(tokenizer_path)
+        encode, known, squeeze = encoder(tokenizer_path), token_bytes(tokenizer_path), zstandard.ZstdCompressor(level=1).compress
         file, number, share = shipped.value.get(TaskContext.get().partitionId(), (None, 0, 0))
         last = number + share
         cuts = Cuts(file, known) if file else None
@@ -170,13 +196,13 @@ def materialise(docs: DataFrame, tokenizer_path: str, folder: str, *, length: in
                 b, doc, seq, used, data = whole.slice(at, 500), [], [], [], []
                 for d, t in zip(b.column(0).to_pylist(), b.column(1)):
                     text = t.as_py() or ""
-                    ids = np.array([*(cuts.get(text.encode()) if cuts else encode(text)), eot], kind)
+                    ids = np.append(cuts.get(text.encode()) if cuts else encode(text), eot).astype(kind)
                     for k in range(0, len(ids), length):
                         part = ids[k : k + length]
                         doc.append(d)
                         seq.append(k // length)
                         used.append(len(part))
-                        data.append(zlib.compress(part.tobytes(), 1))
+                        data.append(squeeze(part.tobytes()))
                 if number + len(doc) > last:
                     raise ValueError("the input changed between the passes over it")
                 slot = permuted(np.arange(number, number + len(doc)), total, keys).astype(np.int64)
@@ -189,7 +215,7 @@ def materialise(docs: DataFrame, tokenizer_path: str, folder: str, *, length: in
     dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink, name, expected, meta = None, "", 0, []
+        sink, name, expected, meta, unpack = None, "", 0, [], zstandard.ZstdDecompressor().decompress
         for b in batches:
             shard, slots = b.column("shard").to_pylist(), b.column("slot").to_pylist()
             if sink is None and slots:
@@ -200,7 +226,7 @@ def materialise(docs: DataFrame, tokenizer_path: str, folder: str, *, length: in
             for slot, packed in zip(slots, b.column("ids")):
                 if slot != expected:
                     raise ValueError(f"slot {slot} came where {expected} belongs")
-                data = zlib.decompress(packed.as_py())
+                data = unpack(packed.as_py())
                 sink.write(data + np.full((stride - len(data)) // kind.itemsize, eot, kind).tobytes())
                 expected += 1
             meta.append(b.select(["shard", "slot", "doc_id", "seq", "n_ids"]))
