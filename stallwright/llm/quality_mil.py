@@ -187,8 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_byte
 
     sample = training_sample(docs, labels, "quality", FOLDS, HELD_OUT, max_rows, max_bytes, seed)
     rows = sample.mapInArrow(run, "doc_id bigint, bag binary, words binary, y int").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending"), ("words", "ascending")])
-    bags = [np.frombuffer(x.as_py(), "<f4").reshape(-1, WIDTH).astype(float) for x in rows.column("bag")]
-    return fit(bags, [np.frombuffer(x.as_py(), np.int32) for x in rows.column("words")], rows.column("y").to_numpy().astype(float))
+    bags = [np.frombuffer(x.as_buffer(), "<f4").reshape(-1, WIDTH).astype(float) for x in rows.column("bag")]
+    return fit(bags, [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("words")], rows.column("y").to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, net: Bag, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

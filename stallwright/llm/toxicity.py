@@ -31,7 +31,7 @@ from .learning import fold, training_sample
 
 BITS, PREFIXES = 20, (4, 5, 6)
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
-MAX_ROWS, MAX_BYTES, TERMS, FACTORS, EPOCHS, SEED = 12_000, 64 << 20, 4096, 4, 20, 7
+MAX_ROWS, MAX_BYTES, TERMS, FACTORS, EPOCHS, SEED = 12_000, 36 << 20, 4096, 4, 20, 7
 #: Pairs of words at most this far apart are looked at; those that stand out by `STANDS_OUT` deviations are taken, `PAIRS` at most.
 NEAR, STANDS_OUT, PAIRS, LEAST = 5, 4.5, 512, 5
 BUCKETS = 24
@@ -93,8 +93,11 @@ def paired_terms(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         seen[at] += 1
         if label:
             pos[at] += 1
-    off = np.abs(pos - seen * np.float32(base)) >= 2.5 * np.sqrt(seen * np.float32(base * (1 - base)))
-    off &= seen >= LEAST
+    off = np.zeros(1 << BUCKETS, bool)
+    for k in range(0, 1 << BUCKETS, 1 << 20):  # in slices, for the memory of what is computed on the way
+        n_k, pos_k = seen[k : k + (1 << 20)].astype(np.float32), pos[k : k + (1 << 20)]
+        off[k : k + (1 << 20)] = (n_k >= LEAST) & (np.abs(pos_k - n_k * base) >= 2.5 * np.sqrt(n_k * (base * (1 - base))))
+    del seen, pos
     found = [np.unique((p := near_pairs(t))[off[bucket(p)]]) for t in texts]
     pairs, of = np.unique(np.concatenate(found), return_inverse=True)
     labels = np.repeat(y, [len(f) for f in found])
@@ -186,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_byte
 
     sample = training_sample(docs, labels, "toxic", FOLDS, HELD_OUT, max_rows, max_bytes, seed)
     rows = sample.mapInArrow(run, "doc_id bigint, bag binary, words binary, y int").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
-    bags, texts = ([np.frombuffer(x.as_py(), np.int32) for x in rows.column(c)] for c in ("bag", "words"))
+    bags, texts = ([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column(c)] for c in ("bag", "words"))
     return fit(bags, texts, rows.column("y").to_numpy().astype(float))
 
 
