@@ -73,7 +73,8 @@ def _characters() -> dict[str, str]:
 
 
 CHARACTERS = _characters()
-_ODD_CHAR = re.compile("[" + "".join(map(re.escape, CHARACTERS)) + "]")
+#: The odd characters, and all beyond the first plane, of which `re` would try one after the other.
+_ODD_CHAR = re.compile("[" + "".join(re.escape(c) for c in CHARACTERS if c < "\U00010000") + "\U00010000-\U0010ffff]")
 #: A text without any of these or an odd character can't change.
 TRIGGER = re.compile(rf"(?i)[\[({{<][ \t]{{0,2}}(?:at|dot|@|\.)[ \t]{{0,2}}[\])}}>]| dot | at [A-Za-z0-9-]++\.[A-Za-z0-9]|(?:{_WORD})[ ,-]{{1,2}}(?:{_WORD}|[0-9])|plus[ -]{{1,2}}[0-9]")
 
@@ -172,6 +173,10 @@ def _digits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _plain(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), CHARACTERS[m[0]]) for m in _ODD_CHAR.finditer(text) if m[0] in CHARACTERS]
+
+
 def transducer(pattern: re.Pattern, output: Callable[[str], str]) -> Callable[[str], list[tuple[int, int, str]]]:
     """Edits (start, end, output) for the leftmost matches of the pattern, in order."""
     return lambda text: [(m.start(), m.end(), output(m[0])) for m in pattern.finditer(text)]
@@ -179,7 +184,7 @@ def transducer(pattern: re.Pattern, output: Callable[[str], str]) -> Callable[[s
 
 #: The transducers, each over what the one before it wrote.
 CASCADE = (
-    transducer(_ODD_CHAR, CHARACTERS.__getitem__),
+    _plain,
     transducer(_AT, lambda _: "@"),
     transducer(_DOT, lambda _: "."),
     _worded,
