@@ -15,31 +15,52 @@ from stallwright.llm.common import bounded, fresh_dir, table
 
 @bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine rejects go."""
+    """Documents that the factorization machine scores at 0.7 or more go.
+
+    Null and empty texts score by the bias alone; without labels none goes; long texts are read whole; ties (a score of
+    exactly 0.7) go; repeated rows share their fate; an empty table stays empty; extra columns come through.
+    """
     return toxicity.clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 @bounded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the smallest doc_id."""
+    """One document of each class stays, the one with the smallest doc_id.
+
+    Null texts are empty ones, and these one class; of rows that agree in doc_id and text one stays, any of them; rows
+    with a null doc_id lose against those with one; long texts are read whole; an empty table stays empty; extra
+    columns come through.
+    """
     return near_dedup.deduplicated(docs)
 
 
 @bounded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
+    """Documents with a benchmark passage go.
+
+    Null and empty texts stay; without items none goes; long texts are scanned whole; repeated rows share their fate; an
+    empty table stays empty; extra columns come through.
+    """
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 @bounded
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind."""
+    """Personal data in the texts is replaced by its kind; no document goes.
+
+    Null stays null, empty stays empty; overlapping spans become one mark; n_chars follows where a text changed; long
+    texts are read whole; repeated rows change alike; an empty table stays empty; other columns come through.
+    """
     return pii.without_personal_data(docs)
 
 
 @bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences."""
+    """Token pieces with their sequences.
+
+    Null and empty texts are the end-of-text id alone; only texts beyond 2048 ids are cut; ties of length are dealt by
+    task and place; repeated rows are packed each; an empty table gives no pieces; extra columns are ignored.
+    """
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
