@@ -42,3 +42,14 @@ def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, str(tmp_path)).columns == df.columns
+
+
+def test_stages_on_an_empty_table_long_texts_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, prose(77, 30))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = docs(spark, {1: prose(1, 60_000), 2: prose(2, 50), 3: None, 4: ""}, {"digest": 1, "_x0": 2, "score": 3, "spans": 4, "shard": 5})
+    for rows, n in ((df.limit(0), {0}), (df.unionByName(df), {3, 4, 8})):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, str(tmp_path))
+            assert out.columns == df.columns and out.count() in n
+        assert corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).select("doc_id").distinct().count() == (4 if n != {0} else 0)
