@@ -64,8 +64,8 @@ def decontaminated(titles: DataFrame, brands: tuple[str, ...], o: TaxonomyOption
 
     @F.pandas_udf("double")
     def cosine(title: pd.Series, term: pd.Series) -> pd.Series:
-        known: dict[str, np.ndarray] = {}
-        return pd.Series([float(embed(a.lower()) @ known.setdefault(b, embed(b.lower()))) for a, b in zip(title, term)])
+        known = {t: embed(t.lower()) for t in {*title, *term}}
+        return pd.Series([float(known[a] @ known[b]) for a, b in zip(title, term)])
 
     some = titles.where(F.arrays_overlap(tokens(F.col("title")), F.array(*(F.lit(b) for b in brands))))
     return some.where(cosine("title", "search_term") >= o.title_cosine)
@@ -204,14 +204,16 @@ def merge_synonyms(grams: list[str], freq: list[int], threshold: float = 0.80) -
 def subsumed(groups: list[Group], threshold: float = 0.80) -> list[Group]:
     """Fewer words (at least two) absorb longer n-grams that contain them and are similar, greedily in order."""
     out: list[Group] = []
+    short: list[tuple[int, set[str]]] = []  # place in out and words of those that can absorb
     for g, f, forms in sorted(groups, key=lambda x: (len(x[0].split()), -x[1], x[0])):
         words = set(g.split())
-        for k, (kept, n, have) in enumerate(out):
-            short = set(kept.split())
-            if 2 <= len(short) < len(words) and short <= words and embed(kept) @ embed(g) >= threshold:
-                out[k] = (kept, n + f, have + forms)
+        for k, part in short if len(words) > 2 else ():
+            if len(part) < len(words) and part <= words and embed(out[k][0]) @ embed(g) >= threshold:
+                out[k] = (out[k][0], out[k][1] + f, out[k][2] + forms)
                 break
         else:
+            if len(words) >= 2:
+                short.append((len(out), words))
             out.append((g, f, list(forms)))
     return out
 
