@@ -17,16 +17,18 @@ table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, table, words
+from .common import kept_rows, release, table, words
 from .learning import fold, training_sample
 
 BITS, PREFIXES = 20, (4, 5, 6)
@@ -179,7 +181,7 @@ def fit(bags: list[np.ndarray], texts: list[np.ndarray], y: np.ndarray, n_terms:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, seed: int = SEED) -> Machine:
-    """Fits on the driver; what it collects is bounded by `max_rows` and `max_bytes`."""
+    """Fits in one task, whose rows are bounded by `max_rows` and `max_bytes`; only the machine reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,10 +189,23 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_byte
             texts = [word_ids(t.as_py()).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bags, pa.binary()), pa.array(texts, pa.binary()), b.column("y")], names=["doc_id", "bag", "words", "y"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        machine = fit_rows(pa.Table.from_batches(rows)) if rows else fit([], [], np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], names=["machine"])
+
     sample = training_sample(docs, labels, "toxic", FOLDS, HELD_OUT, max_rows, max_bytes, seed)
-    rows = sample.mapInArrow(run, "doc_id bigint, bag binary, words binary, y int").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
-    bags, texts = ([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column(c)] for c in ("bag", "words"))
-    return fit(bags, texts, rows.column("y").to_numpy().astype(float))
+    found = sample.mapInArrow(run, "doc_id bigint, bag binary, words binary, y int").repartition(1).mapInArrow(learn, "machine binary").collect()
+    release(docs.sparkSession)
+    return pickle.loads(found[0]["machine"]) if found else fit([], [], np.zeros(0))
+
+
+def fit_rows(rows: pa.Table) -> Machine:
+    """The machine for rows of doc_id, bag, words and y, whatever their order."""
+    order = pc.sort_indices(rows, [("doc_id", "ascending"), ("words", "ascending")]).to_pylist()
+    every = {c: [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column(c)] for c in ("bag", "words")}
+    bags, texts = ([every[c][k] for k in order] for c in ("bag", "words"))
+    return fit(bags, texts, rows.column("y").to_numpy()[order].astype(float))
 
 
 def scored(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
