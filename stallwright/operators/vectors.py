@@ -96,14 +96,26 @@ def verdict(answer: Column) -> tuple[Column, Column]:
 
 
 def binary_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Accuracy, F1 of either class, macro F1 and macro precision of (label, predicted)."""
+    """Accuracy, F1, and macro F1, precision and recall of (label, predicted); macro F1 is null where labels have one class.
+
+    Precision and recall average over the classes that occur among labels or predictions.
+    """
     y, p = F.col("label"), F.col("predicted")
     n = lambda c: F.count_if(c).cast("double")
     g = rows.groupBy(*by).agg(n(y & p).alias("tp"), n(~y & p).alias("fp"), n(y & ~p).alias("fn"), n(~y & ~p).alias("tn"))
     ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(0.0))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     f1, f0 = ratio(2 * tp, 2 * tp + fp + fn), ratio(2 * tn, 2 * tn + fp + fn)
-    return g.select(*by, ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"), f1.alias("f1"), ((f1 + f0) / 2).alias("f1_macro"), ((ratio(tp, tp + fp) + ratio(tn, tn + fn)) / 2).alias("precision_macro"))
+    ones, zeros = (tp + fp + fn > 0).cast("double"), (tn + fp + fn > 0).cast("double")
+    macro = lambda one, zero: (one * ones + zero * zeros) / (ones + zeros)
+    return g.select(
+        *by,
+        ((tp + tn) / (tp + fp + fn + tn)).alias("accuracy"),
+        f1.alias("f1"),
+        F.when((tp + fn > 0) & (tn + fp > 0), (f1 + f0) / 2).alias("f1_macro"),
+        macro(ratio(tp, tp + fp), ratio(tn, tn + fn)).alias("precision_macro"),
+        macro(ratio(tp, tp + fn), ratio(tn, tn + fp)).alias("recall_macro"),
+    )
 
 
 def tfidf(terms: DataFrame, min_df: int = 5, max_df_ratio: float = 0.8) -> DataFrame:

@@ -159,13 +159,15 @@ def agg_cluster_stats(spark, sf_dir):
 
 @query(
     "agg_tool_stats",
-    """WITH p AS (SELECT price, listing_id, date_diff('day', created, coalesce(ended, TIMESTAMP '2002-01-01')) AS d FROM cells WHERE category = 'SMALL'), top AS (SELECT price FROM p ORDER BY d, listing_id LIMIT 200)
-    SELECT (SELECT count(*) FROM p) AS n, (SELECT round(min(price), 3) FROM p) AS low, (SELECT round(max(price), 3) FROM p) AS high, (SELECT round(list_sort(list(price))[count(*) // 2 + 1], 3) FROM top) AS median""",
+    """WITH p AS (SELECT price, listing_id, date_diff('day', created, coalesce(ended, TIMESTAMP '2002-01-01')) AS d FROM cells WHERE category = 'SMALL'), top AS (SELECT price FROM (SELECT * FROM p ORDER BY d, listing_id LIMIT 200) WHERE price > 0)
+    SELECT (SELECT count(*) FROM p) AS n, (SELECT round(min(price), 3) FROM p) AS low, (SELECT round(max(price), 3) FROM p) AS high, (SELECT round(list_sort(list(price))[count(*) // 2 + 1], 3) FROM top) AS median,
+    (SELECT round(list_sort(list(price))[3 * count(*) // 4 + 1] - list_sort(list(price))[count(*) // 4 + 1], 3) FROM top) AS iqr""",
 )
 def agg_tool_stats(spark, sf_dir):
     rows = M.cells(spark, sf_dir).where("category = 'SMALL'")
-    top = rows.orderBy(K.days_on_market(M.as_of()), "listing_id").limit(200).agg(F.array_sort(F.collect_list("price")).alias("p"))
-    median = top.select(rnd(F.element_at("p", F.expr("size(p) div 2 + 1").cast("int")), 3).alias("median"))
+    top = rows.orderBy(K.days_on_market(M.as_of()), "listing_id").limit(200).where("price > 0").agg(F.array_sort(F.collect_list("price")).alias("p"))
+    at = lambda k: F.try_element_at("p", F.expr(f"cast({k} as int) + 1"))
+    median = top.select(rnd(at("size(p) div 2"), 3).alias("median"), rnd(at("3 * size(p) div 4") - at("size(p) div 4"), 3).alias("iqr"))
     return rows.agg(F.count("*").alias("n"), rnd(F.min("price"), 3).alias("low"), rnd(F.max("price"), 3).alias("high")).crossJoin(F.broadcast(median))
 
 

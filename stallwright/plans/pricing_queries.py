@@ -262,19 +262,25 @@ def agg_conf_hist(spark, sf_dir):
     return M.edges(spark, sf_dir).groupBy(F.when(c >= 0.95, ".95").when(c >= 0.9, ".90").when(c >= 0.8, ".80").when(c >= 0.5, ".50").otherwise("low").alias("bucket")).agg(F.count("*").alias("n"))
 
 
+#: Rank buckets of the report (fixed values); ranks beyond the last have none.
+RANK_BUCKETS = [(1, 10), (11, 20), (21, 30), (31, 50), (51, 100), (101, 200), (201, 300), (301, 500)]
+_RANK_BUCKET = "CASE " + " ".join(f"WHEN k BETWEEN {lo} AND {hi} THEN '{lo}-{hi}'" for lo, hi in RANK_BUCKETS) + " END"
+
+
 @query(
     "agg_kanalysis",
-    """WITH r AS (SELECT active_id, similarity, confidence, row_number() OVER (PARTITION BY active_id ORDER BY similarity DESC, sold_id) AS k FROM comps),
-    g AS (SELECT k, count(*) AS n, count(*) FILTER (coalesce(confidence, 0) >= 0.75) AS accepted, round(avg(similarity), 4) AS sim FROM r GROUP BY k)
-    SELECT k, n, accepted, sim, CAST(sum(accepted) OVER (ORDER BY k) AS BIGINT) AS cumulative, CASE WHEN k <= 10 THEN '1-10' WHEN k <= 50 THEN '11-50' ELSE '51-' END AS bucket FROM g""",
+    f"""WITH r AS (SELECT active_id, similarity, confidence, row_number() OVER (PARTITION BY active_id ORDER BY similarity DESC, sold_id) AS k FROM comps),
+    g AS (SELECT k, count(*) AS n, count(*) FILTER (coalesce(confidence, 0) >= 0.75) AS accepted, round(avg(similarity), 4) AS sim, round(avg(confidence), 4) AS conf FROM r GROUP BY k)
+    SELECT k, n, accepted, n - accepted AS rejected, round(100.0 * accepted / n, 4) AS accept_percent, sim, conf, CAST(sum(accepted) OVER (ORDER BY k) AS BIGINT) AS cumulative, {_RANK_BUCKET} AS bucket FROM g""",
 )
 def agg_kanalysis(spark, sf_dir):
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("active_id").orderBy(F.desc("similarity"), "sold_id"))
-    g = comps(spark, sf_dir).withColumn("k", k.cast("bigint")).groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.coalesce("confidence", F.lit(0.0)) >= 0.75).alias("accepted"), rnd(F.avg("similarity"), 4).alias("sim"))
-    bucket = F.when(F.col("k") <= 10, "1-10").when(F.col("k") <= 50, "11-50").otherwise("51-")
-    return g.withColumn("cumulative", P.running_total(g, "k", "accepted")).withColumn("bucket", bucket)
+    accepted = F.count_if(F.coalesce("confidence", F.lit(0.0)) >= 0.75)
+    g = comps(spark, sf_dir).withColumn("k", k.cast("bigint")).groupBy("k").agg(F.count("*").alias("n"), accepted.alias("accepted"), rnd(F.avg("similarity"), 4).alias("sim"), rnd(F.avg("confidence"), 4).alias("conf"))
+    g = g.withColumn("rejected", F.col("n") - F.col("accepted")).withColumn("accept_percent", rnd(F.lit(100.0) * F.col("accepted") / F.col("n")))
+    return g.withColumn("cumulative", P.running_total(g, "k", "accepted")).withColumn("bucket", F.expr(_RANK_BUCKET))
 
 
 @query("win_cumulative_rank", "WITH g AS (SELECT CAST(round(similarity * 100) AS BIGINT) AS s, count(*) AS n FROM edges GROUP BY 1) SELECT s, n, CAST(sum(n) OVER (ORDER BY s) AS BIGINT) AS cumulative FROM g")

@@ -142,8 +142,9 @@ _CONF = f"(SELECT job_id, comparable AS y, {_ENS} > 0.5 AS p FROM pairs)"
 
 @query(
     "agg_metrics",
-    f"""SELECT job_id, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round(f1, 4) AS f1, round((f1 + f0) / 2, 4) AS f1_macro, round((coalesce(tp / nullif(tp + fp, 0), 0) + coalesce(tn / nullif(tn + fn, 0), 0)) / 2, 4) AS precision_macro FROM
-    (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0) AS f0 FROM (SELECT job_id, CAST(count(*) FILTER (y AND p) AS DOUBLE) AS tp, CAST(count(*) FILTER (NOT y AND p) AS DOUBLE) AS fp,
+    f"""SELECT job_id, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy, round(f1, 4) AS f1, round(CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (f1 + f0) / 2 END, 4) AS f1_macro,
+    round((coalesce(tp / nullif(tp + fp, 0), 0) * k1 + coalesce(tn / nullif(tn + fn, 0), 0) * k0) / (k1 + k0), 4) AS precision_macro, round((coalesce(tp / nullif(tp + fn, 0), 0) * k1 + coalesce(tn / nullif(tn + fp, 0), 0) * k0) / (k1 + k0), 4) AS recall_macro FROM
+    (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0) AS f0, CAST(tp + fp + fn > 0 AS DOUBLE) AS k1, CAST(tn + fp + fn > 0 AS DOUBLE) AS k0 FROM (SELECT job_id, CAST(count(*) FILTER (y AND p) AS DOUBLE) AS tp, CAST(count(*) FILTER (NOT y AND p) AS DOUBLE) AS fp,
     CAST(count(*) FILTER (y AND NOT p) AS DOUBLE) AS fn, CAST(count(*) FILTER (NOT y AND NOT p) AS DOUBLE) AS tn FROM {_CONF} GROUP BY 1))""",
 )
 def agg_metrics(spark, sf_dir):
