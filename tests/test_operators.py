@@ -108,6 +108,10 @@ def test_synonyms_and_absorbed_ngrams_keep_their_forms():
     assert out == [("gold", 20, ["gold"]), ("gold plated", 13, ["gold plated", "gold plated x"])]
 
 
+def test_no_synonyms_among_no_ngrams():
+    assert taxonomy.synonym_groups([], []) == [] and taxonomy.merge_synonyms([], []) == []
+
+
 def test_search_term_and_decontamination(spark):
     rows = [(1, f"l{k}", "acme pad red" if k % 2 else "acme pad blue", "acme pad") for k in range(60)] + [(1, "x", "other thing", "acme pad")]
     t = spark.createDataFrame(rows, "job_id bigint, listing_id string, title string, search_term string")
