@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh_names, kept_rows, text_digest, words
+from .common import cut, fresh_names, kept_rows, text_digest, tidy, words
 
 WINDOW = 10
 MAX_CHARS = 1_000_000
@@ -152,6 +152,7 @@ def _hits(docs: DataFrame, text: str, chunks: list, window: int) -> DataFrame:
     rows, parts = docs.select(text_digest(text).alias("digest"), F.col(f"`{text}`").cast("string").alias("text")), []
     for name, shipped in chunks:
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], name=name, shipped=shipped) -> Iterator[pa.RecordBatch]:
             found = matcher(name, shipped, window)
             for b in batches:
@@ -189,6 +190,7 @@ def contamination(
         kept = kept.withColumn("digest", text_digest()).join(_hits(docs, text, chunks, window), "digest", "left").drop("digest")
     name, shipped = chunks[0]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = None if many else matcher(name, shipped, window).scan
         for b in batches:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_names, joined, release, table, text_digest, utf8, words
+from .common import cut, fresh_names, joined, release, table, text_digest, tidy, utf8, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 6
@@ -173,6 +173,7 @@ def signatures(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataF
         out = [(d, g, None if k is None else bands[k].tolist() if len(sets[k][0]) else [], None if k is None else sketch[k].tolist()) for d, g, k in rows]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))], names=["doc_id", "digest", "bands", "sketch"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         sets, rows, n = [], [], 0
@@ -220,6 +221,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
         each = np.unique(c)
         return [{"w": float(weights(n)) if len(each) > 1 else 1.0, "h": h[c == n].view(np.int64).tolist()} for n in each]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [levels(t.as_py()) for t in b.column(1)]
@@ -237,6 +239,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", threshold: f
     ta, tb = (texts.select(F.col("digest").alias(f"_{x}"), F.col("_text").alias(f"_t{x}")) for x in "ab")
     both = joined(pairs, "a", "b", ta, "_a", first=lambda rows: rows.join(tb, F.col("b") == F.col("_b"))).select("a", "b", "_ta", "_tb")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = functools.lru_cache(64)(shingles)
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 from .tokenizer import encoder
 
 CAPACITY = 2048
@@ -35,6 +35,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eot: int = EOT) -> DataFrame:
     """Token pieces of every document, each with its task and its place among the task's pieces of its length."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
@@ -134,6 +135,7 @@ def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eot:
     shipped = docs.sparkSession.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 5))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shipped.value
         keys = (at[:, 0] << 44) + at[:, 1]

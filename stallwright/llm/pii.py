@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -255,6 +255,7 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
         schema = schema.add(f"n_{k}", "long")
     schema = schema.add("base_spans", "string").add("spans", "string").add("n_added", "long").add("masked", "string")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new: list[list] = [[] for _ in range(8)]
@@ -273,6 +274,7 @@ def personal_data(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
 def without_personal_data(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """All documents and columns, the text masked and n_chars, if there is one, its new length."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = [masked(t.as_py()) for t in b.column(text)]

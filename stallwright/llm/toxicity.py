@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, release, table, words
+from .common import kept_rows, release, table, tidy, words
 from .learning import fold, training_sample
 
 BITS, PREFIXES = 20, (4, 5, 6)
@@ -183,12 +183,14 @@ def fit(bags: list[np.ndarray], texts: list[np.ndarray], y: np.ndarray, n_terms:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, seed: int = SEED) -> Machine:
     """Fits in one task, whose rows are bounded by `max_rows` and `max_bytes`; only the machine reaches the driver."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bags = [terms(t.as_py()).tobytes() for t in b.column("text")]
             texts = [word_ids(t.as_py()).tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bags, pa.binary()), pa.array(texts, pa.binary()), b.column("y")], names=["doc_id", "bag", "words", "y"])
 
+    @tidy
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
         machine = fit_rows(pa.Table.from_batches(rows)) if rows else fit([], [], np.zeros(0))
@@ -214,6 +216,7 @@ def scored(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",
     out = docs.select(*(F.col(f"`{k}`") for k in keep), F.col("text").cast("string").alias("_text"))
     schema = out.drop("_text").schema.add("score", "double")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for b in batches:
