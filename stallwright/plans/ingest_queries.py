@@ -17,16 +17,26 @@ from ..store import folder
 from .pricing_queries import rounded
 
 
+#: Cards of a search page that `src_html_search` makes, about.
+CARDS = 240
+
+
 # ---- pages
 
 
 @query("src_html_search")
 def src_html_search(spark, sf_dir):
-    """Search pages made from the listings, read back by the parser."""
+    """Search pages made from the listings, read back by the parser.
+
+    A search of many listings is several pages of some `CARDS` cards with its page_id, however many listings there are.
+    """
     rows = M.titles(spark, sf_dir).where("price IS NOT NULL")
     n = F.pmod(F.xxhash64("listing_id"), F.lit(89_999_999_999)) + 10_000_000_000
-    card = F.concat(F.lit('<li class="s-card" data-viewport="1"><a class="s-card__link" href="https://x.example/itm/'), n, F.lit('?x=1"><div class="s-card__title">New listing'), F.col("title"), F.lit('</div></a><span class="s-card__price">£'), F.format_string("%.2f", "price"), F.lit('</span><div class="s-card__subtitle-row">Pre-owned</div><span>+ £3.50 delivery</span></li>'))
-    pages = rows.groupBy(F.pmod(F.xxhash64("listing_id"), F.lit(997)).alias("page_id")).agg(F.concat(F.lit("<html><ul>"), F.array_join(F.collect_list(card), ""), F.lit("</ul></html>")).alias("html"))
+    parts = max(1, M.read(spark, sf_dir, "lineitem").count() // (997 * CARDS))
+    keys = F.pmod(F.xxhash64("listing_id"), F.lit(997)).alias("page_id"), F.pmod(F.hash("listing_id"), F.lit(parts)).alias("part")
+    found = rows.select(*keys, F.struct(n.alias("n"), "title", "price").alias("x")).groupBy("page_id", "part").agg(F.collect_list("x").alias("xs"))
+    card = lambda x: F.concat(F.lit('<li class="s-card" data-viewport="1"><a class="s-card__link" href="https://x.example/itm/'), x["n"], F.lit('?x=1"><div class="s-card__title">New listing'), x["title"], F.lit('</div></a><span class="s-card__price">£'), F.format_string("%.2f", x["price"]), F.lit('</span><div class="s-card__subtitle-row">Pre-owned</div><span>+ £3.50 delivery</span></li>'))
+    pages = found.select("page_id", F.concat(F.lit("<html><ul>"), F.array_join(F.transform("xs", card), ""), F.lit("</ul></html>")).alias("html"))
     return H.search_listings(pages)
 
 

@@ -233,6 +233,20 @@ def test_pages(spark):
     assert html.cleaned_text(None) is None
 
 
+def test_search_pages_are_bounded_and_keep_every_card(spark, monkeypatch):
+    from stallwright.plans import ingest_queries
+
+    seen = []
+    search = html.search_listings
+    monkeypatch.setattr(html, "search_listings", lambda pages: seen.append(pages) or search(pages))
+    monkeypatch.setattr(ingest_queries, "CARDS", 2)
+    rows = ingest_queries.src_html_search(spark, "/root/testdata/sf0.001").select("page_id", "listing_id", "title", "price").collect()
+    cards, most = seen[0].select(F.regexp_count("html", F.lit('<li class="s-card"')).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    monkeypatch.setattr(ingest_queries, "CARDS", 1_000_000)
+    assert len(rows) == cards and sorted(rows) == sorted(ingest_queries.src_html_search(spark, "/root/testdata/sf0.001").select("page_id", "listing_id", "title", "price").collect())
+    assert most < seen[1].select(F.max(F.regexp_count("html", F.lit('<li class="s-card"')))).first()[0]
+
+
 def test_ingest(spark):
     old = spark.createDataFrame([("a", 1, "Sold", 1.0), ("b", 1, "Active", 2.0)], "listing_id string, job_id bigint, status string, price double")
     new = spark.createDataFrame([("a", 1, "Active", 9.0), ("b", 1, "Sold", 3.0), ("c", 2, "Active", 4.0)], old.schema)
